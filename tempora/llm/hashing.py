@@ -136,7 +136,5 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.n
     result = sums[first]
     for row in np.flatnonzero((counts > 0) & (counts < k)):  # short rows: their own words only, and their length
         own = words[offsets[row] : offsets[row + 1]]
-        total = np.uint64(int(counts[row]))
-        total = total * _BASE + np.bitwise_xor.reduce(own * factors[: len(own)]) if len(own) else total
-        result[out_offsets[row]] = total
+        result[out_offsets[row]] = np.bitwise_xor.reduce(np.append(own * factors[: len(own)], np.array([len(own)], np.uint64) * _BASE))
     return mix(result), out_offsets
