@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tempora.plans import feature_queries, indicator_queries, recursive_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+_FAMILIES = (indicator_queries, feature_queries, recursive_queries)
+QUERIES = {name: f for family in _FAMILIES for name, f in family.QUERIES.items()}
+ORACLE_SQL = {name: text for family in _FAMILIES for name, text in family.ORACLE_SQL.items()}
