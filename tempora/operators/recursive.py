@@ -27,25 +27,24 @@ def linear_scan(df: DataFrame, steps: dict[str, tuple[Column, Column]], chunk: i
     """
     names = list(steps)
     keyed = df.withColumn("__chunk", ((F.col("n") - 1) / chunk).cast("long"))
-    inputs = keyed.select("symbol", "n", "__chunk", *[F.coalesce(steps[k][i], F.lit(d)).cast("double").alias(f"{k}__{p}") for k in names for i, p, d in ((0, "a", 1.0), (1, "b", 0.0))])
+    inputs = keyed.select("*", *[F.coalesce(steps[k][i], F.lit(d)).cast("double").alias(f"{k}__{p}") for k in names for i, p, d in ((0, "v", 1.0), (1, "m", 0.0))])
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n")
-        out = {"symbol": pdf["symbol"], "n": pdf["n"], "__chunk": pdf["__chunk"]}
         for k in names:
-            a, b = pdf[f"{k}__a"].to_numpy(), pdf[f"{k}__b"].to_numpy()
+            a, b = pdf[f"{k}__v"].to_numpy(), pdf[f"{k}__m"].to_numpy()
             v, m = np.empty(len(a)), np.empty(len(a))
             x, y = 0.0, 1.0
             for i in range(len(a)):
                 x = a[i] * x + b[i]
                 y = a[i] * y
                 v[i], m[i] = x, y
-            out[f"{k}__v"], out[f"{k}__m"] = v, m
-        return pd.DataFrame(out)
+            pdf[f"{k}__v"], pdf[f"{k}__m"] = v, m
+        return pdf
 
-    schema = "symbol string, n int, __chunk long, " + ", ".join(f"`{k}__v` double, `{k}__m` double" for k in names)
-    scanned = inputs.groupBy("symbol", "__chunk").applyInPandas(local, schema)
-    ends = scanned.groupBy("symbol", "__chunk").agg(F.max("n").alias("n")).join(scanned, ["symbol", "__chunk", "n"])
+    scanned = inputs.groupBy("symbol", "__chunk").applyInPandas(local, inputs.schema).persist()  # read by the chain and by the result
+    last = F.max_by(F.struct(*[f"{k}__{p}" for k in names for p in "vm"]), "n")
+    ends = scanned.groupBy("symbol", "__chunk").agg(last.alias("x")).select("symbol", "__chunk", "x.*")
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__chunk")
@@ -59,8 +58,8 @@ def linear_scan(df: DataFrame, steps: dict[str, tuple[Column, Column]], chunk: i
         return pd.DataFrame(out)
 
     carries = ends.groupBy("symbol").applyInPandas(chain, "symbol string, __chunk long, " + ", ".join(f"`{k}__c` double" for k in names))
-    values = scanned.join(carries, ["symbol", "__chunk"]).select("symbol", "n", *[(F.col(f"{k}__v") + F.col(f"{k}__m") * F.col(f"{k}__c")).alias(k) for k in names])
-    return df.join(values, ["symbol", "n"])
+    values = [(F.col(f"{k}__v") + F.col(f"{k}__m") * F.col(f"{k}__c")).alias(k) for k in names]
+    return scanned.join(carries, ["symbol", "__chunk"]).select(*df.columns, *values)
 
 
 def ema(x: str, alpha: float) -> tuple[Column, Column]:
@@ -79,7 +78,7 @@ def recursive_indicators(bars: DataFrame) -> DataFrame:
     clv = r.div((F.col("close") - F.col("low")) - (F.col("high") - F.col("close")), F.col("high") - F.col("low"))
     gain, loss = F.greatest(F.coalesce("delta", F.lit(0.0)), F.lit(0.0)), F.greatest(-F.coalesce("delta", F.lit(0.0)), F.lit(0.0))
     base = base.select(
-        "*", r.cumulative(clv * F.col("volume")).alias("ad"), gain.alias("gain"), loss.alias("loss"), r.sma("tr", 14).alias("atr"), F.var_samp("ret").over(r.WHOLE).alias("long_var"), r.std("ret", 20).alias("vol20")
+        "*", F.coalesce(r.cumulative(clv * F.col("volume")), F.lit(0.0)).alias("ad"), gain.alias("gain"), loss.alias("loss"), r.sma("tr", 14).alias("atr"), F.var_samp("ret").over(r.WHOLE).alias("long_var"), r.std("ret", 20).alias("vol20")
     )
     base = base.select("*", F.least(F.greatest(0.1 * (1 + F.coalesce(r.div("vol20", F.sqrt("long_var")), F.lit(1.0))), F.lit(0.01)), F.lit(0.99)).alias("alpha_t"))
     first = F.col("n") == 1

@@ -35,7 +35,7 @@ _E12, _E26 = _ema("ema12", "t.close", "(2.0 / 13)"), _ema("ema26", "t.close", "(
 _T1 = _ema("trix1", "t.close", "(2.0 / 15)")
 _T2 = _ema("trix2", _T1, "(2.0 / 15)")
 _SQL = _BASE.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
-t0 AS (SELECT *, {q.cum('clv')} AS ad, {q.avg('tr', 14)} AS atr, var_samp(ret) OVER (PARTITION BY symbol) AS long_var, {q.std('ret', 20)} AS vol20 FROM b),
+t0 AS (SELECT *, coalesce({q.cum('clv')}, 0) AS ad, {q.avg('tr', 14)} AS atr, var_samp(ret) OVER (PARTITION BY symbol) AS long_var, {q.std('ret', 20)} AS vol20 FROM b),
 t AS (SELECT *, least(greatest(0.1 * (1 + coalesce(vol20 / nullif(sqrt(long_var), 0), 1.0)), 0.01), 0.99) AS al FROM t0),
 e AS (SELECT symbol, n, bar_ts, close::DOUBLE AS ema12, close::DOUBLE AS ema26, close::DOUBLE AS ema20, 0.0::DOUBLE AS macd, 0.0::DOUBLE AS signal, close::DOUBLE AS trix1, close::DOUBLE AS trix2, close::DOUBLE AS trix3, ad::DOUBLE AS ad3, ad::DOUBLE AS ad10, gain::DOUBLE AS up, loss::DOUBLE AS down, long_var::DOUBLE AS garch, close::DOUBLE AS kama, close::DOUBLE AS num, 1.0::DOUBLE AS den, close::DOUBLE AS ema_frac, atr::DOUBLE AS atr FROM t WHERE n = 1
  UNION ALL SELECT t.symbol, t.n, t.bar_ts, {_E12}, {_E26}, {_ema('ema20', 't.close', '(2.0 / 21)')}, ({_E12}) - ({_E26}), {_ema('signal', f'({_E12}) - ({_E26})', '0.2')}, {_T1}, {_T2}, {_ema('trix3', _T2, '(2.0 / 15)')},
