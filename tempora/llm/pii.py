@@ -29,7 +29,7 @@ KINDS = ("email", "ip", "card", "phone")
 MIN_SEEDS, MIN_SCORE, TURNS = 5, 0.8, 2
 #: Characters of context that are kept on each side.
 REACH = 48
-_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _NO_SPANS = "array<struct<start:int,end:int,s:string>>"
 
 
