@@ -5,10 +5,12 @@ Jaccard distance is a metric.  Two documents link when their distance is at most
 1. Equal sets are one class, and one document of each stands for it from here on.
 2. Regions.  Whole documents as pivots cannot split a large corpus: unrelated texts are at distance 1 from any
    pivot, so every window would hold everything.  The first pivots are therefore single shingles: with n shingles, a
-   document lies within distance 1 of the pivots it contains, and of its n - ceil(percent * n / 100) + 1 rarest ones
-   at least one is contained in every document it links to.  Documents around one pivot meet; regions are the
-   connected components, so that no link crosses regions and no document is in two.  Rarity is read from a sketch of
-   counts over all documents; it decides sizes only, not results.
+   document lies within distance 1 of the pivots it contains, and of its n - ceil(percent * n / 100) + 1 first ones
+   in any order of all shingles at least one is contained in every document it links to.  Documents around one pivot
+   meet; regions are the connected components, so that no link crosses regions and no document is in two.  The
+   order puts a quarter of all shingles first, by their exact number of documents, then the others, and last
+   the hot ones, whose counter in a sketch of all shingles is far above the mean.  Shingles of one document meet
+   nobody, so only those of two or more go on; and hot ones meet batch by batch before they are shuffled.
 3. Voronoi cells.  In a region of more than `leaf` documents, documents become pivots: all distances to them are
    taken, documents in the ball of radius e around a pivot link to it, and so to each other's component.
    By the triangle inequality a document x in the ball of p can only link out of it to y with d(y, p) <= d(x, p) + e;
@@ -33,7 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempora.llm.common import materialise, table, text_or_empty
@@ -47,11 +49,12 @@ MAX_BROADCAST = 1_000_000
 @dataclass(frozen=True)
 class Params:
     """k: words of a shingle; percent: similarity of linked sets; sketch_bits: log2 of the sketch's counters;
-    leaf: documents of a region that one task joins; rounds: of pivots in larger regions; pivots: in a round."""
+    hot: how many times the mean counter, and at least that often, makes a shingle hot; leaf: documents of a region that one task joins; rounds: of pivots in larger regions; pivots: in a round."""
 
     k: int = 4
     percent: int = 85
-    sketch_bits: int = 21
+    sketch_bits: int = 20
+    hot: tuple[float, int] = (4.0, 64)
     slices: int = 32
     leaf: int = 2000
     rounds: int = 4
@@ -66,8 +69,8 @@ def _shingles(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray,
         yield i, j, *shingle_hashes(words, at, k)
 
 
-def sketch(documents: DataFrame, p: Params) -> np.ndarray:
-    """Counts of all shingles by the top bits of their hash, on a logarithmic scale of one byte each."""
+def hot_counters(documents: DataFrame, p: Params) -> np.ndarray:
+    """Which counters of the sketch, found by the top bits of a shingle's hash, are hot."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << p.sketch_bits, np.int64)
@@ -75,68 +78,81 @@ def sketch(documents: DataFrame, p: Params) -> np.ndarray:
             for _, _, hashes, _ in _shingles(batch.column("text"), p.k):
                 counts += np.bincount((hashes >> np.uint64(64 - p.sketch_bits)).astype(np.int64), minlength=len(counts))
         if counts.any():
-            parts = [zlib.compress(x.astype(np.uint32 if x.max() < 1 << 32 else np.uint64).tobytes(), 1) for x in np.array_split(counts, p.slices)]
+            parts = [zlib.compress(x.tobytes(), 1) for x in np.array_split(counts, p.slices)]
             yield pa.RecordBatch.from_arrays([pa.array(range(p.slices), pa.int32()), pa.array(parts, pa.binary())], ["slice", "part"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = (1 << p.sketch_bits) // p.slices
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, part in zip(batch.column("slice").to_pylist(), batch.column("part").to_pylist(), strict=True):
-                raw = zlib.decompress(part)
-                sums[k] = sums.get(k, 0) + np.frombuffer(raw, np.uint32 if len(raw) == 4 * size else np.uint64).astype(np.int64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(part), np.int64)
         if sums:
-            scaled = [np.minimum(np.round(6 * np.log2(1.0 + x)), 255).astype(np.uint8).tobytes() for x in sums.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(scaled, pa.binary())], ["slice", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], ["slice", "part"])
 
     texts = documents.select(text_or_empty("text").alias("text"))
     summed = texts.mapInArrow(count, "slice int, part binary").repartition(p.slices, "slice").mapInArrow(add, "slice int, part binary")
-    out = np.zeros((p.slices, (1 << p.sketch_bits) // p.slices), np.uint8)
-    for row in summed.collect():  # 2^sketch_bits bytes
-        out[row["slice"]] = np.frombuffer(bytes(row["part"]), np.uint8)
-    return out.ravel()
+    out = np.zeros((p.slices, (1 << p.sketch_bits) // p.slices), np.int64)
+    for row in summed.collect():  # 2^sketch_bits counters
+        out[row["slice"]] = np.frombuffer(zlib.decompress(bytes(row["part"])), np.int64)
+    return out.ravel() > max(p.hot[1], p.hot[0] * out.mean())
 
 
 def signatures(documents: DataFrame, p: Params) -> DataFrame:
-    """(doc_id, n, d1, d2, anchors): size and digest of each row's set, and the shingles that are its first pivots."""
-    shared = documents.sparkSession.sparkContext.broadcast(sketch(documents, p))
+    """(doc_id, n, d1, d2, counted, fixed): size and digest of each row's set; its shingles of the first quarter, and as
+    many others as are needed where these are fewer than its pivots."""
+    shared = documents.sparkSession.sparkContext.broadcast(hot_counters(documents, p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, low = shared.value, np.uint64(8)
+        hot = shared.value
         for batch in batches:
-            sizes, one, two, anchors = [], [], [], []
+            sizes, one, two, counted, fixed = [], [], [], [], []
             for _, _, hashes, at in _shingles(batch.column("text"), p.k):
-                rank = counts[(hashes >> np.uint64(64 - p.sketch_bits)).astype(np.int64)].astype(np.uint64)
-                order = (rank << np.uint64(56)) | (mix(hashes) >> low)  # rarest first; equal shingles are equal
                 for a, b in zip(at[:-1], at[1:], strict=True):
-                    own = np.unique(order[a:b])
+                    own = np.unique(hashes[a:b])
                     n = len(own)
-                    sizes.append(n)
                     mixed = mix(own)
+                    sizes.append(n)
                     one.append(int(mixed.sum(dtype=np.uint64).astype(np.int64)) if n else 0)
                     two.append(int(mix(mixed ^ _BASE).sum(dtype=np.uint64).astype(np.int64)) if n else 0)
-                    anchors.append(own[: n + (-p.percent * n) // 100 + 1 if n else 0].astype(np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in anchors])]).astype(np.int32)
-            flat = pa.array(np.concatenate(anchors) if anchors else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
-                ["doc_id", "n", "d1", "d2", "anchors"],
-            )
+                    is_hot = hot[(own >> np.uint64(64 - p.sketch_bits)).astype(np.int64)]
+                    quarter = (mixed & np.uint64(3)) == 0
+                    first = own[quarter & ~is_hot].astype(np.int64)
+                    more = max(_pivots(n, p.percent) - len(first), 0)
+                    counted.append(first)
+                    fixed.append(np.concatenate([own[~quarter & ~is_hot], own[is_hot]])[:more].astype(np.int64) if more else first[:0])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), _lists(counted), _lists(fixed)], ["doc_id", "n", "d1", "d2", "counted", "fixed"])
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, anchors array<long>")
+    return texts.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, counted array<long>, fixed array<long>")
 
 
-def _meetings(classes: DataFrame) -> DataFrame:
-    """(node, hub): each document around an anchor with another one around it.
+def _pivots(n: int, percent: int) -> int:
+    """How many first shingles of a set of n meet every set that it links to."""
+    return n + (-percent * n) // 100 + 1 if n else 0
 
-    Within a batch the documents of an anchor meet at once, and one goes on for all of them, so that a frequent
-    anchor has a row a batch in the shuffle.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64()))
+
+
+def _meetings(found: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
+    """(node, hub): each document around a pivot with another one around it."""
+    nodes = classes.select("node", "d1", "d2", "n")
+    if nodes.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        nodes = F.broadcast(nodes)
+    rows = found.join(nodes, ["d1", "d2", "n"]).where("doc_id = node").select("node", "n", "counted", "fixed")
+
+    # the first quarter: how many documents have each shingle; hot ones are not among them, so no group is large
+    each = rows.select("node", F.explode("counted").alias("key"))
+    shared = each.withColumn("docs", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("docs > 1")
+    own = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("docs", "key"))).alias("shared"))  # of one set
+    budget = (F.col("n") - F.ceil(p.percent * F.col("n") / 100) + 1 - (F.size("counted") - F.size("shared"))).cast("int")
+    kept = own.join(rows.select("node", "n", "counted"), "node").select("node", F.explode(F.slice("shared", 1, F.greatest(budget, F.lit(0)))).alias("x")).select(F.col("x.key").alias("key"), "node", F.lit(None).cast("long").alias("hub"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("anchors")
+            lists = batch.column("fixed")
             keys = np.asarray(lists.flatten())
             nodes = np.repeat(np.asarray(batch.column("node")), np.diff(np.asarray(lists.offsets)))
             order = np.argsort(keys, kind="stable")
@@ -146,15 +162,13 @@ def _meetings(classes: DataFrame) -> DataFrame:
             hub = nodes[first][np.cumsum(first) - 1] if len(nodes) else nodes
             near = np.unique(np.stack([nodes[~first], hub[~first]], axis=1), axis=0) if (~first).any() else np.zeros((0, 2), np.int64)
             spread = mix((near[:, 0] + near[:, 1]).astype(np.uint64)).astype(np.int64)  # finished rows, dealt out evenly
+            alone = np.arange(first.sum() + len(near)) < first.sum()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([keys[first], spread])), pa.array(np.concatenate([nodes[first], near[:, 0]])), pa.array(np.concatenate([np.zeros(first.sum(), np.int64), near[:, 1]]), mask=np.arange(first.sum() + len(near)) < first.sum())],
-                ["key", "node", "hub"],
+                [pa.array(np.concatenate([keys[first], spread])), pa.array(np.concatenate([nodes[first], near[:, 0]])), pa.array(np.concatenate([np.zeros(first.sum(), np.int64), near[:, 1]]), mask=alone)], ["key", "node", "hub"]
             )
 
-    from pyspark.sql import Window
-
-    rows = classes.select("node", "anchors").mapInArrow(run, "key long, node long, hub long")
-    met = rows.withColumn("least", F.min("node").over(Window.partitionBy("key")))
+    others = rows.where(F.size("fixed") > 0).select("node", "fixed").mapInArrow(meet, "key long, node long, hub long")
+    met = kept.unionByName(others).withColumn("least", F.min("node").over(Window.partitionBy("key")))
     return met.select("node", F.coalesce("hub", "least").alias("hub")).where("node != hub").distinct()
 
 
@@ -297,9 +311,9 @@ def components(documents: DataFrame, params: Params = Params()) -> tuple[DataFra
     """(one row for each row of documents: doc_id, n, d1, d2; classes: d1, d2, n, node, component)."""
     p = params
     found = materialise(signatures(documents, p), "jaccard-signatures")
-    classes = found.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.first("anchors").alias("anchors"))
+    classes = found.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"))
     classes = materialise(classes, "jaccard-classes")
-    links = connected_components(_meetings(classes))  # node, component; singles have no row
+    links = connected_components(_meetings(found, classes, p))  # node, component; singles have no row
     small = links.select("node", F.col("component").alias("region"))
     sets = materialise(_sets(documents, small, p).dropDuplicates(["region", "node", "n"]) if _repeats(found) else _sets(documents, small, p), "jaccard-sets")
     sizes = materialise(sets.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).where(F.col("size") > p.leaf), "jaccard-large")
@@ -322,8 +336,8 @@ def components(documents: DataFrame, params: Params = Params()) -> tuple[DataFra
         found_components = joined.select("node", F.col("hub").alias("component"))
     else:
         found_components = connected_components(stars.unionByName(joined))
-    labelled = classes.drop("anchors").join(found_components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return found.drop("anchors"), labelled
+    labelled = classes.join(found_components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return found.drop("counted", "fixed"), labelled
 
 
 def _repeats(found: DataFrame) -> bool:
