@@ -9,9 +9,20 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("symbol").orderBy("bar_ts")
-WHOLE = Window.partitionBy("symbol").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-UP_TO = ORDER.rowsBetween(Window.unboundedPreceding, 0)
+
+def order():
+    """Rows of a symbol by time.  Specifications are made on use, as they need a session."""
+    return Window.partitionBy("symbol").orderBy("bar_ts")
+
+
+def whole():
+    """All rows of a symbol."""
+    return Window.partitionBy("symbol").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def up_to():
+    """Rows of a symbol up to the current one."""
+    return order().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def col(x: str | Column) -> Column:
@@ -19,7 +30,7 @@ def col(x: str | Column) -> Column:
 
 
 def frame(n: int, end: int = 0):
-    return ORDER.rowsBetween(end - n + 1, end)
+    return order().rowsBetween(end - n + 1, end)
 
 
 def full(x: Column, n: int, value: Column, end: int = 0) -> Column:
@@ -55,11 +66,11 @@ def quantile(x: str | Column, n: int, q: float) -> Column:
 
 
 def lag(x: str | Column, n: int = 1) -> Column:
-    return F.lag(col(x), n).over(ORDER)
+    return F.lag(col(x), n).over(order())
 
 
 def lead(x: str | Column, n: int = 1) -> Column:
-    return F.lead(col(x), n).over(ORDER)
+    return F.lead(col(x), n).over(order())
 
 
 def diff(x: str | Column, n: int = 1) -> Column:
@@ -129,7 +140,7 @@ def mean_abs_dev(x: str | Column, n: int) -> Column:
 
 
 def cumulative(x: str | Column) -> Column:
-    return F.sum(col(x)).over(UP_TO)
+    return F.sum(col(x)).over(up_to())
 
 
 def zscore(x: str | Column, n: int) -> Column:

@@ -80,14 +80,14 @@ def clean(bars: DataFrame, column: str = "close") -> DataFrame:
 def targets(bars: DataFrame, horizon: int = 1) -> DataFrame:
     """Simple and log returns, next close, next return and direction (0 where nothing follows), and the split of a row."""
     ahead = r.lead("close", horizon)
-    n, k = F.count(F.lit(1)).over(Window.partitionBy("symbol")), F.row_number().over(r.ORDER)
+    n, k = F.count(F.lit(1)).over(Window.partitionBy("symbol")), F.row_number().over(r.order())
     split = F.when(k <= F.floor(n * 0.7), "train").when(k <= F.floor(n * 0.85), "validation").otherwise("test")
     return bars.select("symbol", "bar_ts", r.change("close").alias("simple"), r.log_return("close").alias("log_return"), ahead.alias("next_close"), (r.div(ahead, "close") - 1).alias("next_return"), F.coalesce((ahead > F.col("close")).cast("int"), F.lit(0)).alias("direction"), split.alias("split"))
 
 
 def sequences(bars: DataFrame, length: int = 10, columns: tuple[str, ...] = ("close", "volume")) -> DataFrame:
     """(symbol, bar_ts, features, target): the `length` rows before each row, and its close; full windows only."""
-    before = F.collect_list(F.struct(*columns)).over(r.ORDER.rowsBetween(-length, -1))
+    before = F.collect_list(F.struct(*columns)).over(r.order().rowsBetween(-length, -1))
     return bars.select("symbol", "bar_ts", before.alias("features"), F.col("close").alias("target")).where(F.size("features") == length)
 
 
@@ -100,14 +100,14 @@ def last_sequence(bars: DataFrame, length: int = 10) -> DataFrame:
 
 def fill(column: str, method: str) -> Column:
     """Missing values by the last, the next, or the line between both."""
-    last = F.last(column, True).over(r.UP_TO)
-    following = F.first(column, True).over(r.ORDER.rowsBetween(0, Window.unboundedFollowing))
+    last = F.last(column, True).over(r.up_to())
+    following = F.first(column, True).over(r.order().rowsBetween(0, Window.unboundedFollowing))
     if method == "forward":
         return last
     if method == "backward":
         return following
     known = F.when(F.col(column).isNotNull(), F.col("__k"))
-    a, b = F.last(known, True).over(r.UP_TO), F.first(known, True).over(r.ORDER.rowsBetween(0, Window.unboundedFollowing))
+    a, b = F.last(known, True).over(r.up_to()), F.first(known, True).over(r.order().rowsBetween(0, Window.unboundedFollowing))
     return F.when(F.col(column).isNotNull(), F.col(column)).otherwise(last + (following - last) * r.div(F.col("__k") - a, b - a))
 
 
@@ -122,7 +122,7 @@ def spine_fill(bars: DataFrame, every_missing: int = 0) -> DataFrame:
     kept = bars.withColumn("__week", (F.datediff("bar_ts", F.lit("1990-01-01").cast("timestamp_ntz")) / 7).cast("int"))
     if every_missing:
         kept = kept.where(F.col("__week") % every_missing != 0)
-    wide = spine.join(kept.select("symbol", "bar_ts", "close", "volume"), ["symbol", "bar_ts"], "left").withColumn("__k", F.row_number().over(r.ORDER))
+    wide = spine.join(kept.select("symbol", "bar_ts", "close", "volume"), ["symbol", "bar_ts"], "left").withColumn("__k", F.row_number().over(r.order()))
     return wide.select("symbol", "bar_ts", "close", fill("close", "forward").alias("forward"), fill("close", "backward").alias("backward"), fill("close", "linear").alias("linear"))
 
 

@@ -11,8 +11,6 @@ from tempora.functions import rolling as r
 from tempora.functions.rolling import div
 from tempora.operators.alignment import pairs
 
-_PAIR = Window.partitionBy("a", "b").orderBy("bar_ts")
-
 
 def with_returns(bars: DataFrame) -> DataFrame:
     return bars.select("*", r.change("close").alias("ret"))
@@ -31,7 +29,7 @@ def pair_correlations(bars: DataFrame, n: int = 20) -> DataFrame:
     rank = lambda c: F.avg("__o").over(Window.partitionBy("a", "b", c))
     for c in ("x", "y"):
         both = both.withColumn("__o", F.row_number().over(Window.partitionBy("a", "b").orderBy(c)).cast("double")).withColumn(f"rank_{c}", rank(c)).drop("__o")
-    w = _PAIR.rowsBetween(-(n - 1), 0)
+    w = Window.partitionBy("a", "b").orderBy("bar_ts").rowsBetween(-(n - 1), 0)
     both = both.withColumn("rolling", F.when(F.count("x").over(w) == n, safe_corr("x", "y", w)))
     out = both.groupBy("a", "b").agg(
         safe_corr("x", "y").alias("pearson"), safe_corr("rank_x", "rank_y").alias("spearman"), div(F.covar_samp("x", "y"), F.var_samp("y")).alias("beta"), F.avg("rolling").alias("rolling_mean"), F.stddev_samp("rolling").alias("rolling_sd"), F.min("rolling").alias("rolling_min"), F.max("rolling").alias("rolling_max")
@@ -46,12 +44,12 @@ def correlation_features(bars: DataFrame, n: int = 20) -> DataFrame:
     w = Window.partitionBy("symbol", "other").orderBy("bar_ts").rowsBetween(-(n - 1), 0)
     c = both.select("symbol", "bar_ts", F.when(F.count("x").over(w) == n, safe_corr("x", "y", w)).alias("c"))
     wide = c.groupBy("symbol", "bar_ts").agg(F.avg("c").alias("mean"), F.max("c").alias("most"), F.min("c").alias("least"), F.stddev_pop("c").alias("spread"))
-    return wide.withColumn("momentum", F.col("mean") - F.lag("mean", 5).over(r.ORDER))
+    return wide.withColumn("momentum", F.col("mean") - F.lag("mean", 5).over(r.order()))
 
 
 def market(bars: DataFrame, n: int = 10) -> DataFrame:
     """(bar_ts, market_ret, dispersion, breadth, market_vol, market_volume): equal weights; breadth over the last n rows."""
-    before = r.ORDER.rowsBetween(-n, -1)
+    before = r.order().rowsBetween(-n, -1)
     base = with_returns(bars).select("symbol", "bar_ts", "ret", "volume", F.when(F.count("ret").over(before) == n, (F.avg("ret").over(before) > 0).cast("double")).alias("rising"))
     daily = base.groupBy("bar_ts").agg(F.avg("ret").alias("market_ret"), F.stddev_pop("ret").alias("dispersion"), F.avg("rising").alias("breadth"), F.sum("volume").alias("market_volume"))
     w = Window.orderBy("bar_ts").rowsBetween(-(n - 1), 0)  # one row a time, of all symbols together
@@ -100,7 +98,7 @@ def portfolio_risk(weights: DataFrame, cov: DataFrame) -> DataFrame:
 
 def ranking(bars: DataFrame) -> DataFrame:
     """Composite rank of symbols: min-max scores of return, return over risk, momentum over 21, 63 and 126 rows, drawdown."""
-    base = with_returns(bars).select("*", F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("bar_ts").desc())).alias("back"), (F.col("close") / F.max("close").over(r.UP_TO) - 1).alias("dd"))
+    base = with_returns(bars).select("*", F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("bar_ts").desc())).alias("back"), (F.col("close") / F.max("close").over(r.up_to()) - 1).alias("dd"))
     at = lambda k: F.max(F.when(F.col("back") == k, F.col("close")))
     s = base.groupBy("symbol").agg(F.avg("ret").alias("mu"), F.stddev_samp("ret").alias("sd"), F.min("dd").alias("dd"), *[(at(1) / at(k) - 1).alias(f"m{k}") for k in (21, 63, 126)])
     s = s.select("symbol", F.col("mu").alias("ret_raw"), div("mu", "sd").alias("risk_raw"), ((F.col("m21") + F.col("m63") + F.col("m126")) / 3).alias("mom_raw"), F.col("dd").alias("dd_raw"))

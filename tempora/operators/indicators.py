@@ -18,7 +18,7 @@ def with_base(bars: DataFrame) -> DataFrame:
     tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - r.lag("close")), F.abs(F.col("low") - r.lag("close")))
     return bars.select(
         "*",
-        F.row_number().over(r.ORDER).alias("n"),
+        F.row_number().over(r.order()).alias("n"),
         r.diff("close").alias("delta"),
         r.change("close").alias("ret"),
         r.log_return("close").alias("log_ret"),
@@ -195,5 +195,5 @@ def variants(bars: DataFrame) -> DataFrame:
         "s3": F.col("low") - 2 * (F.col("high") - F.col("tp")),
     }
     wide = base.select("*", *[c.alias(k) for k, c in columns.items()])
-    onward = r.ORDER.rowsBetween(0, Window.unboundedFollowing)
+    onward = r.order().rowsBetween(0, Window.unboundedFollowing)
     return wide.withColumn("sma_back", F.first("sma_back", True).over(onward))

@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 from tempora.functions.rolling import div
 
-TIME = Window.partitionBy("model_id").orderBy("ts", "event_id")
-SOFAR = TIME.rowsBetween(Window.unboundedPreceding, 0)
+
+def time_order():
+    """Rows of a model by time."""
+    return Window.partitionBy("model_id").orderBy("ts", "event_id")
+
+
+def so_far():
+    """Rows of a model up to the current one."""
+    return time_order().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def accuracy(y: str = "actual", p: str = "prediction") -> dict[str, Column]:
@@ -31,7 +38,7 @@ def accuracy(y: str = "actual", p: str = "prediction") -> dict[str, Column]:
 
 def with_direction(log: DataFrame) -> DataFrame:
     """Adds the change of prediction and actual against the last row, and whether both have one direction."""
-    dp, da = F.col("prediction") - F.lag("prediction").over(TIME), F.col("actual") - F.lag("actual").over(TIME)
+    dp, da = F.col("prediction") - F.lag("prediction").over(time_order()), F.col("actual") - F.lag("actual").over(time_order())
     return log.select("*", dp.alias("dp"), da.alias("da")).select("*", (F.signum("dp") == F.signum("da")).cast("double").alias("same_direction"), (F.col("actual") / 1000 - 0.05).alias("ret"))
 
 
@@ -53,21 +60,21 @@ def fold_summary(log: DataFrame) -> DataFrame:
 
 def rolling_errors(log: DataFrame, n: int = 50) -> DataFrame:
     """Error and direction over the last n rows of each model."""
-    w = TIME.rowsBetween(-(n - 1), 0)
+    w = time_order().rowsBetween(-(n - 1), 0)
     enough = F.count(F.lit(1)).over(w) == n
     return with_direction(log).select("model_id", "event_id", F.when(enough, F.avg("error").over(w)).alias("mae"), F.when(enough, F.sqrt(F.avg("squared_error").over(w))).alias("rmse"), F.when(enough, F.avg("same_direction").over(w)).alias("direction"))
 
 
 def drawdowns(log: DataFrame) -> DataFrame:
     """Adds the compounded level of `ret`, its running peak and the drawdown from it."""
-    level = with_direction(log).withColumn("level", F.exp(F.sum(F.ln(1 + F.col("ret"))).over(SOFAR)))
-    return level.withColumn("peak", F.greatest(F.max("level").over(SOFAR), F.lit(1.0))).withColumn("drawdown", F.col("level") / F.col("peak") - 1)
+    level = with_direction(log).withColumn("level", F.exp(F.sum(F.ln(1 + F.col("ret"))).over(so_far())))
+    return level.withColumn("peak", F.greatest(F.max("level").over(so_far()), F.lit(1.0))).withColumn("drawdown", F.col("level") / F.col("peak") - 1)
 
 
 def risk(log: DataFrame) -> DataFrame:
     """Return, Sharpe, Sortino, Calmar, profit factor, tails and losing streaks of each model."""
-    marked = drawdowns(log).withColumn("__before", F.lag(F.col("ret") < 0).over(TIME))
-    marked = marked.withColumn("__island", F.sum(F.when((F.col("ret") < 0) == F.col("__before"), 0).otherwise(1)).over(SOFAR))
+    marked = drawdowns(log).withColumn("__before", F.lag(F.col("ret") < 0).over(time_order()))
+    marked = marked.withColumn("__island", F.sum(F.when((F.col("ret") < 0) == F.col("__before"), 0).otherwise(1)).over(so_far()))
     streaks = marked.where("ret < 0").groupBy("model_id", "__island").agg(F.count(F.lit(1)).alias("length")).groupBy("model_id").agg(F.max("length").alias("losing_streak"))
     tails = marked.groupBy("model_id").agg(F.percentile("ret", F.lit(0.05)).alias("var95"), F.percentile("ret", F.lit(0.01)).alias("var99"))
     joined = marked.join(tails, "model_id")
@@ -85,7 +92,7 @@ def statistics(log: DataFrame) -> DataFrame:
     """Test statistics of the signed errors: Jarque-Bera with its p-value, t, Ljung-Box over 5 lags, runs."""
     e = with_direction(log).withColumn("e", F.col("prediction") - F.col("actual"))
     centred = e.withColumn("d", F.col("e") - F.avg("e").over(Window.partitionBy("model_id")))
-    lagged = centred.select("*", *[F.lag("d", k).over(TIME).alias(f"d{k}") for k in range(1, 6)], F.lag(F.signum("d")).over(TIME).alias("s1"))
+    lagged = centred.select("*", *[F.lag("d", k).over(time_order()).alias(f"d{k}") for k in range(1, 6)], F.lag(F.signum("d")).over(time_order()).alias("s1"))
     n = F.count(F.lit(1))
     out = lagged.groupBy("model_id").agg(
         n.alias("n"), F.skewness("e").alias("s"), F.kurtosis("e").alias("k"), div(F.avg("e"), F.stddev_samp("e") / F.sqrt(n)).alias("t"), (1 + F.count_if(F.signum("d") != F.col("s1"))).alias("runs"), *[div(F.sum(F.col("d") * F.col(f"d{k}")), F.sum(F.col("d") * F.col("d"))).alias(f"r{k}") for k in range(1, 6)]
@@ -97,7 +104,7 @@ def statistics(log: DataFrame) -> DataFrame:
 
 def paired_test(log: DataFrame) -> DataFrame:
     """(a, b, n, t, cohen_d): paired t on squared errors of every two models, paired by rank in time."""
-    ranked = log.select("model_id", "squared_error", F.row_number().over(TIME).alias("k"))
+    ranked = log.select("model_id", "squared_error", F.row_number().over(time_order()).alias("k"))
     one, two = ranked.select(F.col("model_id").alias("a"), "k", F.col("squared_error").alias("x")), ranked.select(F.col("model_id").alias("b"), "k", F.col("squared_error").alias("y"))
     d = F.col("x") - F.col("y")
     n = F.count(F.lit(1))

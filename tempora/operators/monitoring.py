@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from tempora.functions.rolling import div
 
-SERIES = Window.partitionBy("metric_name", "model_id").orderBy("ts", "event_id")
+
+def series():
+    """Rows of a metric and model by time."""
+    return Window.partitionBy("metric_name", "model_id").orderBy("ts", "event_id")
 
 
 def before(n: int):
-    return SERIES.rowsBetween(-n, -1)
+    return series().rowsBetween(-n, -1)
 
 
 def anomalies(stream: DataFrame, n: int = 100, least: int = 10) -> DataFrame:
@@ -37,7 +40,7 @@ def anomalies(stream: DataFrame, n: int = 100, least: int = 10) -> DataFrame:
 
 def degradation(stream: DataFrame, recent: int = 20, base: int = 100, least: int = 50) -> DataFrame:
     """Relative change of the mean of the last `recent` rows against that of the last `base`, and its severity."""
-    now, long = SERIES.rowsBetween(-(recent - 1), 0), SERIES.rowsBetween(-(base - 1), 0)
+    now, long = series().rowsBetween(-(recent - 1), 0), series().rowsBetween(-(base - 1), 0)
     x = F.col("metric_value")
     change = F.when(F.count(x).over(long) >= least, div(F.avg(x).over(now) - F.avg(x).over(long), F.avg(x).over(long)))
     return stream.select("event_id", change.alias("change")).withColumn("severity", F.when(F.abs("change") > 0.4, "critical").when(F.abs("change") > 0.2, "warning").when(F.col("change").isNotNull(), "none"))

@@ -28,23 +28,23 @@ def global_masks(df: DataFrame, strictness: float = 0.5) -> DataFrame:
 
 def temporal_masks(df: DataFrame) -> DataFrame:
     """Local median, spike, trend and regime masks."""
-    local = r.ORDER.rowsBetween(-10, 9)
+    local = r.order().rowsBetween(-10, 9)
     base = df.select(
-        "symbol", "bar_ts", "y", F.row_number().over(r.ORDER).alias("n"), F.percentile("y", F.lit(0.5)).over(local).alias("med"), F.collect_list("y").over(local).alias("ys"),
-        ((r.lag("y", 1) + r.lag("y", 2)) / 2).alias("left"), ((r.lead("y", 1) + r.lead("y", 2)) / 2).alias("right"), F.stddev_pop("y").over(r.WHOLE).alias("sd"), (div("y", r.lag("y")) - 1).alias("ret"),
+        "symbol", "bar_ts", "y", F.row_number().over(r.order()).alias("n"), F.percentile("y", F.lit(0.5)).over(local).alias("med"), F.collect_list("y").over(local).alias("ys"),
+        ((r.lag("y", 1) + r.lag("y", 2)) / 2).alias("left"), ((r.lead("y", 1) + r.lead("y", 2)) / 2).alias("right"), F.stddev_pop("y").over(r.whole()).alias("sd"), (div("y", r.lag("y")) - 1).alias("ret"),
     )
     spread = F.transform("ys", lambda v: F.abs(v - F.col("med")))
     ordered = F.array_sort(spread)
     k = F.size(ordered)
     mad = (F.get(ordered, F.floor((k - 1) / 2).cast("int")) + F.get(ordered, F.floor(k / 2).cast("int"))) / 2
-    past = r.ORDER.rowsBetween(-5, -1)
+    past = r.order().rowsBetween(-5, -1)
     x = F.col("n").cast("double")
     base = base.select("*", mad.alias("mad"), F.when(F.count("y").over(past) == 5, F.regr_intercept("y", x).over(past) + F.regr_slope("y", x).over(past) * x).alias("expected"), r.std("ret", 10).alias("vol"))
-    base = base.withColumn("p70", F.percentile("vol", F.lit(0.7)).over(r.WHOLE)).withColumn("wild", F.coalesce((F.col("vol") > F.col("p70")).cast("int"), F.lit(0)))
+    base = base.withColumn("p70", F.percentile("vol", F.lit(0.7)).over(r.whole())).withColumn("wild", F.coalesce((F.col("vol") > F.col("p70")).cast("int"), F.lit(0)))
     return base.select(
         "symbol", "bar_ts", (F.abs(F.col("y") - F.col("med")) <= 2 * F.col("mad")).cast("int").alias("local_keep"),
         F.coalesce((~((F.abs(F.col("y") - F.col("left")) > 1 * F.col("sd")) & (F.abs(F.col("y") - F.col("right")) > 1 * F.col("sd")))).cast("int"), F.lit(1)).alias("spike_keep"),
-        F.coalesce((F.abs(F.col("y") - F.col("expected")) <= 2 * F.col("sd")).cast("int"), F.lit(1)).alias("trend_keep"), (1 - F.max("wild").over(r.ORDER.rowsBetween(-14, 5))).alias("regime_keep"),
+        F.coalesce((F.abs(F.col("y") - F.col("expected")) <= 2 * F.col("sd")).cast("int"), F.lit(1)).alias("trend_keep"), (1 - F.max("wild").over(r.order().rowsBetween(-14, 5))).alias("regime_keep"),
     )
 
 

@@ -78,7 +78,7 @@ def recursive_indicators(bars: DataFrame) -> DataFrame:
     clv = r.div((F.col("close") - F.col("low")) - (F.col("high") - F.col("close")), F.col("high") - F.col("low"))
     gain, loss = F.greatest(F.coalesce("delta", F.lit(0.0)), F.lit(0.0)), F.greatest(-F.coalesce("delta", F.lit(0.0)), F.lit(0.0))
     base = base.select(
-        "*", F.coalesce(r.cumulative(clv * F.col("volume")), F.lit(0.0)).alias("ad"), gain.alias("gain"), loss.alias("loss"), r.sma("tr", 14).alias("atr"), F.var_samp("ret").over(r.WHOLE).alias("long_var"), r.std("ret", 20).alias("vol20")
+        "*", F.coalesce(r.cumulative(clv * F.col("volume")), F.lit(0.0)).alias("ad"), gain.alias("gain"), loss.alias("loss"), r.sma("tr", 14).alias("atr"), F.var_samp("ret").over(r.whole()).alias("long_var"), r.std("ret", 20).alias("vol20")
     )
     base = base.select("*", F.least(F.greatest(0.1 * (1 + F.coalesce(r.div("vol20", F.sqrt("long_var")), F.lit(1.0))), F.lit(0.01)), F.lit(0.99)).alias("alpha_t"))
     first = F.col("n") == 1
@@ -132,7 +132,7 @@ def spectrum(bars: DataFrame, window: int = 50) -> DataFrame:
     """(symbol, bar_ts, fourier_real, fourier_imag): the first Fourier bin of each window, as weighted sums of lags."""
     import math
 
-    n = F.row_number().over(r.ORDER)
+    n = F.row_number().over(r.order())
     real, imag = F.lit(0.0), F.lit(0.0)
     for k in range(window):
         at = window - 1 - k
