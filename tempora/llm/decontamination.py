@@ -6,9 +6,9 @@ that share `span` words share a fingerprint at the same place in them.  Fingerpr
 a join; each hit is extended word by word to both sides, and counts where the shared run has `span` words.
 An item of fewer words is one window, found by the hash of its whole sequence.
 
-The text is read once and never shuffled while the items' fingerprints are few enough to broadcast
-(`MAX_BROADCAST`, checked); beyond that both sides are shuffled by fingerprint.  What is shuffled after the join is
-a row a document and a row a hit.
+Fingerprints are rows of a few numbers; they are not shuffled while the items' are few enough to broadcast
+(`MAX_BROADCAST`, checked), and are shuffled by fingerprint beyond that.  Texts with a hit are read again for
+the extension, by a join with the places of the hits; what is shuffled after it is a row a document and a row a hit.
 
 Equality of k words is equality of their 64-bit hash; extension compares words themselves.
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.common import table, text_or_empty
+from tempora.llm.common import materialise, table, text_or_empty
 from tempora.llm.quality_rules import bind
 
 SPAN, K = 13, 5
@@ -84,40 +84,65 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 def hits(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     """(doc_id, text_hash, n_words, item_id, start, end): a row for each shared run found, and one without item for each document."""
-    reach = span - k
+    reach, spark = span - k, documents.sparkSession
     items = _items(benchmark)
-    long_items = items.where(F.size("iw") >= span).select("item_id", "iw", F.explode(fingerprints(F.col("iw"), span, k)).alias("fp"))
+    long_items = items.where(F.size("iw") >= span).select("item_id", "iw", F.explode_outer(fingerprints(F.col("iw"), span, k)).alias("fp"))
     left, right = _sides(F.col("iw"), F.col("fp.place"), k, reach)
-    found = long_items.select("item_id", F.col("fp.h").alias("h"), left.alias("item_left"), right.alias("item_right")).distinct()
+    known = long_items.select("item_id", F.col("fp.h").alias("h"), left.alias("item_left"), right.alias("item_right")).distinct()
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
-    rows = rows.select("doc_id", "text_hash", "words", F.size("words").cast("long").alias("n_words"), fingerprints(F.col("words"), span, k).alias("fps"))
-    run = lambda df: df.withColumn("before", _agreeing(_sides(F.col("words"), F.col("fp.place"), k, reach)[0], F.col("item_left"), reach)).withColumn(
-        "after", _agreeing(_sides(F.col("words"), F.col("fp.place"), k, reach)[1], F.col("item_right"), reach)
-    )
-    kept = ("doc_id", "text_hash", "n_words", "item_id", (F.col("fp.place") - F.col("before")).alias("start"), (F.col("fp.place") + k + F.col("after")).alias("end"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+
+    # 1. where fingerprints meet: rows of a few numbers; an item row that every document's mark (place -1) meets keeps
+    # documents without hits, in the same pass
     mark = F.struct(F.lit(-1).alias("place"), F.lit(0).cast("long").alias("h"))
-    if found.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        # an item row that every document's mark (place -1) meets keeps documents without hits, in the same pass
-        spark = documents.sparkSession
-        none = spark.range(1).select(F.lit(None).cast("string").alias("item_id"), F.lit(0).cast("long").alias("h"), F.array().cast("array<string>").alias("item_left"), F.array().cast("array<string>").alias("item_right"))
-        placed = rows.select("doc_id", "text_hash", "n_words", "words", F.explode(F.concat(F.array(mark), F.col("fps"))).alias("fp"))
-        met = run(placed.join(F.broadcast(found.where(F.col("h") != 0).unionByName(none)), F.col("fp.h") == F.col("h")))
-        out = met.where(F.when(F.col("item_id").isNull(), F.col("fp.place") < 0).otherwise(F.col("before") + k + F.col("after") >= span)).select(*kept)
+    printed = rows.select("doc_id", "text_hash", words_of(F.col("text")).alias("words"))
+    printed = printed.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), F.concat(F.array(mark), fingerprints(F.col("words"), span, k)).alias("fps"))
+    # outer: else the optimiser filters by the size of the array first, and so computes it twice and word by word
+    placed = printed.select("doc_id", "text_hash", "n_words", F.explode_outer("fps").alias("fp")).select("doc_id", "text_hash", "n_words", "fp.place", "fp.h")
+    hashes = known.select("h").distinct()
+    if hashes.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        met = placed.join(F.broadcast(hashes.unionByName(spark.range(1).select(F.lit(0).cast("long").alias("h"))).distinct()), "h")
+        met = met.where("h != 0 or place < 0")
     else:
-        placed = rows.select("doc_id", "text_hash", "n_words", "words", F.explode("fps").alias("fp"))
-        out = run(placed.join(found, F.col("fp.h") == F.col("h"))).where(F.col("before") + k + F.col("after") >= span).select(*kept)
-        out = out.unionByName(rows.select("doc_id", "text_hash", "n_words", F.lit(None).cast("string").alias("item_id"), F.lit(-1).alias("start"), F.lit(-1).alias("end")))
+        met = placed.where("place >= 0").join(hashes, "h").unionByName(placed.where("place < 0"), allowMissingColumns=True)
+    met = materialise(met, "fingerprints")
+
+    # 2. the documents that have any: the words on both sides of each, compared with the items'
+    places = met.where("place >= 0").groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("place")).alias("places"))
+    places = materialise(places, "fingerprint-places")
+    if places.agg(F.coalesce(F.sum(F.size("places") + 4), F.lit(0))).first()[0] <= MAX_DROPPED:
+        places = F.broadcast(places)
+    touched = rows.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "text").join(places, (F.col("__hash") == F.col("text_hash")) & F.col("__id").eqNullSafe(F.col("doc_id")))
+    touched = touched.groupBy("doc_id", "text_hash", "n_words", "places").agg(F.first("text").alias("text")) if _repeated(met) else touched
+    touched = touched.select("doc_id", "text_hash", "n_words", "places", words_of(F.col("text")).alias("words"))
+    words = F.col("words")
+    around = lambda at: F.struct(at.alias("place"), F.xxhash64(*[F.get(words, at + j) for j in range(k)]).alias("h"), _sides(words, at, k, reach)[0].alias("left"), _sides(words, at, k, reach)[1].alias("right"))
+    sides = touched.select("doc_id", "text_hash", "n_words", F.explode_outer(F.transform("places", around)).alias("fp"))
+    sides = sides.select("doc_id", "text_hash", "n_words", "fp.*")
+    if known.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        known = F.broadcast(known)
+    run = sides.join(known, "h").withColumn("before", _agreeing(F.col("left"), F.col("item_left"), reach)).withColumn("after", _agreeing(F.col("right"), F.col("item_right"), reach))
+    run = run.where(F.col("before") + k + F.col("after") >= span)
+    out = run.select("doc_id", "text_hash", "n_words", "item_id", (F.col("place") - F.col("before")).alias("start"), (F.col("place") + k + F.col("after")).alias("end"))
+    none = F.lit(None).cast("string").alias("item_id")
+    out = out.unionByName(met.where("place < 0").select("doc_id", "text_hash", "n_words", none, F.lit(-1).alias("start"), F.lit(-1).alias("end")))
+
     short = items.where(F.size("iw") < span)
     for (n,) in short.select(F.size("iw").alias("n")).distinct().orderBy("n").collect():  # fewer than `span` lengths
         whole = short.where(F.size("iw") == n).select("item_id", F.get(gram_hashes(F.col("iw"), n), F.lit(0)).alias("h")).distinct()
         if whole.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
             whole = F.broadcast(whole)
-        grams = rows.select("doc_id", "text_hash", "n_words", F.posexplode(gram_hashes(F.col("words"), n)).alias("start", "h"))
+        split = rows.select("doc_id", "text_hash", words_of(F.col("text")).alias("words"))
+        grams = split.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), F.posexplode_outer(gram_hashes(F.col("words"), n)).alias("start", "h"))
         out = out.unionByName(grams.join(whole, "h").select("doc_id", "text_hash", "n_words", "item_id", "start", (F.col("start") + n).alias("end")))
     return out
 
 
+def _repeated(met: DataFrame) -> bool:
+    """Whether a (doc_id, text) has several rows."""
+    return met.where("place < 0").groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count() > 0
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_hash, copies, n_words, n_hit, items, contaminated): one row for each distinct (doc_id, text)."""
     real = F.col("item_id").isNotNull()
@@ -136,8 +161,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """documents without the rows that are contaminated."""
     bad = contamination(documents, benchmark).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    from tempora.llm.common import materialise
-
     bad = materialise(bad, "contaminated")
     if bad.limit(MAX_DROPPED + 1).count() <= MAX_DROPPED:
         bad = F.broadcast(bad)
