@@ -36,28 +36,28 @@ def boilerplate(documents: DataFrame, ratio: float = RATIO, least_pages: int = L
     rows = documents.select(F.xxhash64(F.coalesce(F.col("source"), F.lit("\x00"))).alias("host"), text_or_empty("text").alias("text"))
     pages = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     lines = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x)))
-    carried = rows.select("host", F.explode(lines).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
+    carried = rows.select("host", F.explode_outer(lines).alias("line")).where("line is not null").groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
     frequent = carried.join(pages, "host").where(F.col("n") > ratio * F.col("pages"))
     return materialise(frequent.groupBy("host").agg(F.collect_list("line").alias("bad")), "boilerplate")
 
 
 def drop_boilerplate(documents: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """documents with the boilerplate lines taken out of text."""
-    bad = boilerplate(documents, ratio, least_pages)
+    bad = boilerplate(documents, ratio, least_pages).withColumnsRenamed({"host": "__host", "bad": "__bad"})
     host = F.xxhash64(F.coalesce(F.col("source"), F.lit("\x00")))
-    size = bad.agg(F.sum(F.size("bad")).alias("n")).first()["n"] or 0
+    size = bad.agg(F.sum(F.size("__bad")).alias("n")).first()["n"] or 0
     if size <= MAX_BROADCAST:
-        joined = documents.join(F.broadcast(bad), host == F.col("host"), "left")
+        joined = documents.join(F.broadcast(bad), host == F.col("__host"), "left")
     else:
         salted = bad.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = documents.join(salted, (host == F.col("host")) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)) == F.col("__salt")), "left")
+        joined = documents.join(salted, (host == F.col("__host")) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)) == F.col("__salt")), "left")
 
     def strip(lines: Column) -> Column:
-        found = F.array_intersect(F.transform(lines, lambda x: F.xxhash64(x)), F.col("bad"))
+        found = F.array_intersect(F.transform(lines, lambda x: F.xxhash64(x)), F.col("__bad"))
         return bind(found, lambda b: F.when(F.size(b) == 0, F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(b, F.xxhash64(x))), "\n")))
 
-    text = F.when(F.col("text").isNull() | F.col("bad").isNull(), F.col("text")).otherwise(bind(_lines(F.col("text")), strip))
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in documents.columns])
+    text = F.when(F.col("text").isNull() | F.col("__bad").isNull(), F.col("text")).otherwise(bind(_lines(F.col("text")), strip))
+    return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in documents.columns])
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
