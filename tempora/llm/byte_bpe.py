@@ -150,7 +150,8 @@ def _schema(df: DataFrame) -> str:
 
 
 def encode(documents: DataFrame, path: str | None = None, column: str = "text", to: str = "token_ids") -> DataFrame:
-    """documents with the ids of a text column, array<int>."""
+    """documents with the ids of a text column, array<int>; a column named `to` is replaced."""
+    documents = documents.drop(to)
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary(path))  # a vocabulary file's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +164,8 @@ def encode(documents: DataFrame, path: str | None = None, column: str = "text",
 
 
 def decode(tokens: DataFrame, path: str | None = None, column: str = "token_ids", to: str = "decoded") -> DataFrame:
-    """tokens with the text that an id column stands for; a null array is null."""
+    """tokens with the text that an id column stands for; a null array is null; a column named `to` is replaced."""
+    tokens = tokens.drop(to)
     shared = tokens.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
