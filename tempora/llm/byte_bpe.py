@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.common import table, text_or_empty
+from tempora.llm.common import small_batches, table, text_or_empty
 
 #: Matches kept by a worker before its cache is emptied.
-CACHE = 200_000
+CACHE = 50_000
 
 
 def byte_characters() -> list[str]:
@@ -177,6 +177,22 @@ def decode(tokens: DataFrame, path: str | None = None, column: str = "token_ids"
     return tokens.mapInArrow(run, f"{_schema(tokens)}, `{to}` string")
 
 
+def round_trip(documents: DataFrame, path: str | None = None, column: str = "text") -> DataFrame:
+    """documents with token_ids and the text decoded from them, by one worker a task; columns of these names are replaced."""
+    documents = documents.drop("token_ids", "decoded")
+    small_batches(documents.sparkSession)
+    shared = documents.sparkSession.sparkContext.broadcast(vocabulary(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(*shared.value)
+        for batch in batches:
+            ids = [codec.encode(x or "") for x in batch.column(column).to_pylist()]
+            texts = pa.array([codec.decode(x).decode("utf-8", "replace") for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), texts], [*batch.schema.names, "token_ids", "decoded"])
+
+    return documents.mapInArrow(run, f"{_schema(documents)}, `token_ids` array<int>, `decoded` string")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents and what they decode to, as digests."""
     documents = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
@@ -194,4 +210,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: docs with token_ids, their number, and the text decoded from them."""
-    return decode(encode(docs)).withColumn("n_tokens", F.size("token_ids").cast("long"))
+    return round_trip(docs).withColumn("n_tokens", F.size("token_ids").cast("long"))

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text is hashed in blocks of about this many bytes; one longer document is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _ONE = np.uint64(1)
 

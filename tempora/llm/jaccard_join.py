@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tempora.llm.common import materialise, table, text_or_empty
+from tempora.llm.common import materialise, small_batches, table, text_or_empty
 from tempora.llm.components import connected_components
 from tempora.llm.hashing import _BASE, blocks, mix, shingle_hashes, string_buffers, word_hashes
 
@@ -310,6 +310,7 @@ def _leaves(sets: DataFrame, p: Params, partitions: int) -> DataFrame:
 def components(documents: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
     """(one row for each row of documents: doc_id, n, d1, d2; classes: d1, d2, n, node, component)."""
     p = params
+    small_batches(documents.sparkSession)
     found = materialise(signatures(documents, p), "jaccard-signatures")
     classes = found.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"))
     classes = materialise(classes, "jaccard-classes")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.common import one_label, remainder, table, text_or_empty
+from tempora.llm.common import one_label, remainder, small_batches, table, text_or_empty
 from tempora.llm.hashing import _BASE, WHITESPACE, blocks, mix, string_buffers, word_hashes
 
 
@@ -151,6 +151,7 @@ def _sample(documents: DataFrame, labels: DataFrame, p: Params) -> list[tuple[np
 
 def fit(documents: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
     """Train on documents (doc_id, text) with a row in labels (doc_id, label 0 or 1), a bounded sample of them."""
+    small_batches(documents.sparkSession)
     return train(_sample(documents, labels, params), params)
 
 
