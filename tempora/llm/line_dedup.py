@@ -1,4 +1,4 @@
-"""Line dedup by site-relative frequency: lines that most pages of a host carry are boilerplate.
+"""Line dedup by site-relative frequency: lines that more than a few percent of a host's pages carry are boilerplate.
 
 For each host (`source`) the pages that contain a line are divided by the host's pages; lines above the ratio, found on
 `least_pages` pages or more, are dropped from every page of the host.  A page counts a line once.  Blank lines are
@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from tempora.llm.common import materialise, table, text_or_empty
 from tempora.llm.quality_rules import bind
 
-#: Share of a host's pages above which a line is boilerplate, and the least number of pages that carry it.
-RATIO, LEAST_PAGES = 0.2, 5
+#: Share of a host's pages above which a line is boilerplate, and the least number of pages that carry it.  A template
+#: line need not stand on most pages: sections, languages and years of a site have their own, so a few percent tell it
+#: from prose.  Two pages that agree may be copies of one page, which op6 thins and this would empty; three are a pattern.
+RATIO, LEAST_PAGES = 0.02, 3
 #: Boilerplate lines (8 bytes each) that are broadcast at most, and parts of a host beyond that.
 MAX_BROADCAST, SALTS = 500_000, 32
 

@@ -165,6 +165,15 @@ def test_line_dedup(spark):
     assert got[3] == "body 3\n" and got[16] == "menu\nbody 16\n\nfooter"
 
 
+def test_line_dedup_drops_lines_of_a_few_percent_of_the_pages(spark):
+    passage = " ".join(f"long{k}" for k in range(60))
+    rows = [(k, f"body {k}" + ("\nfooter" if k < 60 else "") + (f"\n{passage}" if k < 5 else "") + ("\npair" if 7 < k < 10 else "")) for k in range(100)]
+    df = documents(spark, rows).withColumn("source", F.lit("site")).unionByName(documents(spark, [(1000 + k, f"{passage}\nother {k}") for k in range(2)]).withColumn("source", F.lit("small")))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(df).collect()}
+    assert {got[k] for k in range(100)} == {f"body {k}" + ("\npair" if 7 < k < 10 else "") for k in range(100)}  # 60 and 5 pages of 100 go, 2 stay
+    assert got[1000] == f"{passage}\nother 0"  # two pages of a host may be copies
+
+
 def test_line_dedup_beyond_broadcast(spark, monkeypatch):
     df = documents(spark, [(k, f"menu\nbody {k}") for k in range(1, 40)]).withColumn("source", F.lit(None).cast("string"))
     monkeypatch.setattr(line_dedup, "MAX_BROADCAST", -1)
