@@ -244,6 +244,22 @@ def test_toxicity_held_out(spark):
     assert np.mean([(scores[k] >= 0.5) == (k % 3 == 0) for k in range(180, 240)]) > 0.95
 
 
+def test_toxicity_counts_grow_with_the_words(spark):
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(1000))) for k in range(600)]  # 600,000 words and pairs, each once
+    counted = toxicity.count(documents(spark, rows).select("text", (F.col("doc_id") % 2).cast("int").alias("label")))
+    got = {r["kind"]: (r["rows"], r["n"], r["most"]) for r in counted.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("n0") + F.col("n1")).alias("n"), F.max(F.col("n0") + F.col("n1")).alias("most")).collect()}
+    assert got == {toxicity.PAIR: (600000, 600000, 1), toxicity.WORD: (600000, 600000, 1)}
+
+
+def test_toxicity_beyond_broadcast(spark, odd, monkeypatch):
+    df, labels = labelled_rows(spark, "idiot")
+    both = df.unionByName(odd).unionByName(odd).unionByName(df.limit(9))
+    want = toxicity.score(both, toxicity.fit(df, labels)).collect()
+    monkeypatch.setattr(toxicity, "MAX_BROADCAST", 0)
+    got = toxicity.score(both, toxicity.fit(df, labels)).collect()
+    assert np.allclose(sorted((r["doc_id"], r["score"]) for r in got), sorted((r["doc_id"], r["score"]) for r in want), atol=1e-6)
+
+
 def test_quality_held_out(spark):
     df, labels = labelled_rows(spark, "good!")
     model = quality_classifier.fit(df, labels.where("doc_id < 180"), quality_classifier.Params(epochs=12))
