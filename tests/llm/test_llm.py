@@ -251,6 +251,17 @@ def test_toxicity_counts_grow_with_the_words(spark):
     assert got == {toxicity.PAIR: (600000, 600000, 1), toxicity.WORD: (600000, 600000, 1)}
 
 
+def test_toxicity_counts_every_labelled_row(spark):
+    df, labels = labelled_rows(spark, "idiot")
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(toxicity.Params().calibrate)) == 0
+    df = df.withColumn("text", F.when(fold & (F.col("doc_id") % 3 == 0), F.concat(F.lit("moron "), "text")).otherwise(F.col("text")))  # only in held-out rows, and toxic
+    model = toxicity.fit(df, labels)
+    counts = toxicity.count(common.labelled(df, labels).withColumn("held", fold))
+    assert toxicity.without_held(counts).where(f"kind = {toxicity.WORD}").count() < counts.where(f"kind = {toxicity.WORD}").count()
+    score = {r["doc_id"]: r["score"] for r in toxicity.score(documents(spark, [(1, "tok1 tok2 tok3"), (2, "tok1 moron tok3")]), model).collect()}
+    assert score[2] > score[1]
+
+
 def test_toxicity_beyond_broadcast(spark, odd, monkeypatch):
     df, labels = labelled_rows(spark, "idiot")
     both = df.unionByName(odd).unionByName(odd).unionByName(df.limit(9))
