@@ -262,6 +262,17 @@ def test_toxicity_counts_every_labelled_row(spark):
     assert score[2] > score[1]
 
 
+def test_toxicity_of_texts_of_toxic_words(spark):
+    rng = random.Random(4)
+    plain, bad = [f"tok{k}" for k in range(40)], ["idiot", "scum", "moron", "loser"]
+    rows = [(k, " ".join(rng.choice(bad if k % 3 == 0 and rng.random() < 0.15 else plain) for _ in range(60))) for k in range(240)]
+    model = toxicity.fit(documents(spark, rows), spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(240)], "doc_id long, label int"))
+    toxic = ["idiot", "idiot scum", "moron scum loser", "tok1 idiot", "idiot loser " * 30, "idiot scum moron tok3 " * 20]
+    neutral = ["tok1", "tok1 tok2", "tok4 tok5 tok6", "tok1 tok2 tok3 tok4 " * 20]
+    score = {r["doc_id"]: r["score"] for r in toxicity.score(documents(spark, list(enumerate([*toxic, *neutral]))), model).collect()}
+    assert min(score[k] for k in range(len(toxic))) > 0.7 > max(score[len(toxic) + k] for k in range(len(neutral)))
+
+
 def test_toxicity_beyond_broadcast(spark, odd, monkeypatch):
     df, labels = labelled_rows(spark, "idiot")
     both = df.unionByName(odd).unionByName(odd).unionByName(df.limit(9))
