@@ -258,7 +258,7 @@ def test_toxicity_counts_every_labelled_row(spark):
     model = toxicity.fit(df, labels)
     counts = toxicity.count(common.labelled(df, labels).withColumn("held", fold))
     assert toxicity.without_held(counts).where(f"kind = {toxicity.WORD}").count() < counts.where(f"kind = {toxicity.WORD}").count()
-    score = {r["doc_id"]: r["score"] for r in toxicity.score(documents(spark, [(1, "tok1 tok2 tok3"), (2, "tok1 moron tok3")]), model).collect()}
+    score = {r["doc_id"]: r["score"] for r in toxicity.score(documents(spark, [(1, "tok1 unseen tok3"), (2, "tok1 moron tok3")]), model).collect()}
     assert score[2] > score[1]
 
 
