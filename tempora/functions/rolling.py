@@ -25,6 +25,12 @@ def up_to():
     return order().rowsBetween(Window.unboundedPreceding, 0)
 
 
+def onward():
+    """Rows of a symbol from the current one on, nearest last.  A frame that starts at the partition's edge is kept up row by
+    row, where one that ends at its far edge would be read anew for each row."""
+    return Window.partitionBy("symbol").orderBy(F.col("bar_ts").desc()).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 

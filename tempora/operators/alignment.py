@@ -22,8 +22,9 @@ def nearest_asof(left: DataFrame, right: DataFrame, by: str, left_ts: str, right
         right.select(by, F.col(right_ts).alias("__t"), F.col(value).alias("__v"), F.col(right_ts).alias("__vt"), F.lit(0).alias("__side")), allowMissingColumns=True
     )
     w = Window.partitionBy(by).orderBy("__t", "__side")
+    reverse = Window.partitionBy(by).orderBy(F.col("__t").desc(), F.col("__side").desc())  # so that both frames only grow
     known = F.when(F.col("__side") == 0, F.struct("__vt", "__v"))
-    back, ahead = F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back, ahead = (F.last(known, True).over(x.rowsBetween(Window.unboundedPreceding, 0)) for x in (w, reverse))
     both = both.select("*", back.alias("__b"), ahead.alias("__a")).where("__side = 1")
     far = lambda x: F.abs(F.unix_micros(F.col(f"{x}.__vt").cast("timestamp")) - F.unix_micros(F.col("__t").cast("timestamp")))
     chosen = F.when(F.col("__a").isNull() | (far("__b") <= far("__a")), F.col("__b.__v")).otherwise(F.col("__a.__v"))
@@ -46,9 +47,11 @@ def weight_changes(current: DataFrame, target: DataFrame, threshold: float = 0.0
 
 def lineage(spark: SparkSession, configs: DataFrame) -> DataFrame:
     """(config_id, root, depth): the root of each config's chain of parents (config_id, parent_id), by recursive SQL."""
-    configs.createOrReplaceTempView("tempora_configs")
-    return spark.sql("""
+    return spark.sql(
+        """
         WITH RECURSIVE walk(config_id, at, depth) AS (
-          SELECT config_id, config_id, 0 FROM tempora_configs
-          UNION ALL SELECT w.config_id, c.parent_id, w.depth + 1 FROM walk w JOIN tempora_configs c ON c.config_id = w.at WHERE c.parent_id IS NOT NULL)
-        SELECT config_id, max_by(at, depth) AS root, max(depth) AS depth FROM walk GROUP BY config_id""")
+          SELECT config_id, config_id, 0 FROM {configs}
+          UNION ALL SELECT w.config_id, c.parent_id, w.depth + 1 FROM walk w JOIN {configs} c ON c.config_id = w.at WHERE c.parent_id IS NOT NULL)
+        SELECT config_id, max_by(at, depth) AS root, max(depth) AS depth FROM walk GROUP BY config_id""",
+        configs=configs,
+    )

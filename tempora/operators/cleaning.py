@@ -101,13 +101,13 @@ def last_sequence(bars: DataFrame, length: int = 10) -> DataFrame:
 def fill(column: str, method: str) -> Column:
     """Missing values by the last, the next, or the line between both."""
     last = F.last(column, True).over(r.up_to())
-    following = F.first(column, True).over(r.order().rowsBetween(0, Window.unboundedFollowing))
+    following = F.last(column, True).over(r.onward())
     if method == "forward":
         return last
     if method == "backward":
         return following
     known = F.when(F.col(column).isNotNull(), F.col("__k"))
-    a, b = F.last(known, True).over(r.up_to()), F.first(known, True).over(r.order().rowsBetween(0, Window.unboundedFollowing))
+    a, b = F.last(known, True).over(r.up_to()), F.last(known, True).over(r.onward())
     return F.when(F.col(column).isNotNull(), F.col(column)).otherwise(last + (following - last) * r.div(F.col("__k") - a, b - a))
 
 

@@ -128,22 +128,27 @@ def rolling_pca(bars: DataFrame, symbols: list[str], n: int = 50) -> DataFrame:
     """(bar_ts, symbol, loading, explained): first principal component of each window of standardised returns.
 
     Windows are collected as arrays by a frame and decomposed a batch of rows at a time; |loading|, as signs are arbitrary.
+    Only times at which every symbol has a return count; loadings are null until a window has n of these.
     """
     wide = with_returns(bars).groupBy("bar_ts").pivot("symbol", symbols).agg(F.first("ret"))
     names = [f"s{k}" for k in range(len(symbols))]
     wide = wide.select("bar_ts", F.array(*[F.col(f"`{s}`") for s in symbols]).alias("x")).where(~F.exists("x", lambda v: v.isNull()))
     w = Window.orderBy("bar_ts").rowsBetween(-(n - 1), 0)  # one row a time
-    framed = wide.select("bar_ts", F.collect_list("x").over(w).alias("xs")).where(F.size("xs") == n)
+    framed = wide.select("bar_ts", F.collect_list("x").over(w).alias("xs"))
 
     def run(batches):
         for pdf in batches:
             rows = []
             for t, xs in zip(pdf["bar_ts"], pdf["xs"], strict=True):
+                if len(xs) < n:
+                    rows += [(t, s, None, None) for s in symbols]
+                    continue
                 x = np.array([list(v) for v in xs])
                 x = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
                 _, s, v = np.linalg.svd(x, full_matrices=False)
                 rows += [(t, symbols[k], float(abs(v[0, k])), float(s[0] ** 2 / (s**2).sum())) for k in range(len(names))]
-            yield pd.DataFrame(rows, columns=["bar_ts", "symbol", "loading", "explained"])
+            out = pd.DataFrame(rows, columns=["bar_ts", "symbol", "loading", "explained"])
+            yield out.astype({"loading": "float64", "explained": "float64"})
 
     return framed.mapInPandas(run, "bar_ts timestamp_ntz, symbol string, loading double, explained double")
 

@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.functions import rolling as r
@@ -195,5 +195,4 @@ def variants(bars: DataFrame) -> DataFrame:
         "s3": F.col("low") - 2 * (F.col("high") - F.col("tp")),
     }
     wide = base.select("*", *[c.alias(k) for k, c in columns.items()])
-    onward = r.order().rowsBetween(0, Window.unboundedFollowing)
-    return wide.withColumn("sma_back", F.first("sma_back", True).over(onward))
+    return wide.withColumn("sma_back", F.last("sma_back", True).over(r.onward()))

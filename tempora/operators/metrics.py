@@ -124,16 +124,21 @@ def periods(rows: int, train: int, test: int, step: int, purge: int = 0, embargo
 def walk_forward(bars: DataFrame, train: int = 60, test: int = 20, step: int = 20, purge: int = 2) -> DataFrame:
     """A one-factor least-squares forecast (return on last return), fitted on each period's train rows and applied to its test rows.
 
-    Periods are a small table; rows meet them by row number within bounds, bucketed by step so that the join is on equality.
+    A row's periods follow from its number by arithmetic: period p trains on rows [p * step, p * step + train) and tests on the
+    `test` rows after the purge, where the longest series has all of these.
     """
-    spark = bars.sparkSession
     w = Window.partitionBy("symbol").orderBy("bar_ts")
     base = bars.select("symbol", "bar_ts", (div("close", F.lag("close").over(w)) - 1).alias("ret"), (F.row_number().over(w) - 1).alias("k"))
     base = base.withColumn("x", F.lag("ret").over(w))
     longest = base.agg(F.max("k")).first()[0] or 0
-    rows = [(p, k, side) for p, a, b, c, d in periods(longest + 1, train, test, step, purge) for side, lo, hi in (("train", a, b), ("test", c, d)) for k in range(lo, hi)]
-    table = spark.createDataFrame(rows or [(-1, -1, "train")], "period int, k int, side string")
-    joined = base.join(table, "k").where("x is not null and ret is not null")
+    last = (longest + 1 - train - purge - test) // step
+
+    def within(offset: int, length: int) -> Column:
+        first, final = F.greatest(F.ceil((F.col("k") - offset - length + 1) / step), F.lit(0)).cast("int"), F.least(F.floor((F.col("k") - offset) / step), F.lit(last)).cast("int")
+        return F.when(final >= first, F.sequence(first, final)).otherwise(F.array().cast("array<int>"))
+
+    known = base.where("x is not null and ret is not null")
+    joined = known.select("*", F.explode(within(0, train)).alias("period"), F.lit("train").alias("side")).unionByName(known.select("*", F.explode(within(train + purge, test)).alias("period"), F.lit("test").alias("side")))
     model = joined.where("side = 'train'").groupBy("symbol", "period").agg(F.regr_slope("ret", "x").alias("slope"), F.regr_intercept("ret", "x").alias("intercept"), F.count(F.lit(1)).alias("train_rows"))
     test_rows = joined.where("side = 'test'").join(model, ["symbol", "period"])
     return test_rows.select("symbol", "period", "bar_ts", "train_rows", (F.col("intercept") + F.col("slope") * F.col("x")).alias("prediction"), F.col("ret").alias("actual"))

@@ -23,11 +23,19 @@ def before(n: int):
 def anomalies(stream: DataFrame, n: int = 100, least: int = 10) -> DataFrame:
     """Three verdicts on each value against its last n: z-score, quartile fences, and median deviation."""
     x, w = F.col("metric_value"), before(n)
-    base = stream.select("*", F.count(x).over(w).alias("seen"), F.avg(x).over(w).alias("mean"), F.stddev_pop(x).over(w).alias("sd"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(w).alias("q"), F.collect_list(x).over(w).alias("xs"))
-    middle = F.transform("xs", lambda v: F.abs(v - F.col("q")[1]))
-    ordered = F.array_sort(middle)
-    k = F.size(ordered)
-    mad = F.when(k > 0, (F.get(ordered, F.floor((k - 1) / 2).cast("int")) + F.get(ordered, F.floor(k / 2).cast("int"))) / 2)
+    base = stream.select("*", F.count(x).over(w).alias("seen"), F.avg(x).over(w).alias("mean"), F.stddev_pop(x).over(w).alias("sd"), F.collect_list(x).over(w).alias("xs"))
+    ordered = lambda xs: F.sort_array(xs)
+
+    def quantile(xs: Column, share: float) -> Column:
+        at = (F.size(xs) - 1) * share
+        low, high = F.get(xs, F.floor(at).cast("int")), F.get(xs, F.ceil(at).cast("int"))
+        return low + (high - low) * (at - F.floor(at))
+
+    # each array is sorted once and bound to a name by a one-element transform
+    base = base.withColumn("q", F.get(F.transform(F.array(ordered(F.col("xs"))), lambda s: F.array(*[quantile(s, share) for share in (0.25, 0.5, 0.75)])), 0))
+    apart = ordered(F.transform("xs", lambda v: F.abs(v - F.col("q")[1])))
+    base = base.withColumn("mad", F.get(F.transform(F.array(apart), lambda s: quantile(s, 0.5)), 0)).drop("xs")
+    mad = F.col("mad")
     spread = F.col("q")[2] - F.col("q")[0]
     enough = F.col("seen") >= least
     return base.select(

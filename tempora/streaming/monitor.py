@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
+
+from tempora.sources.shared import shared_folder
 
 
 def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
@@ -73,10 +77,22 @@ def threshold_alerts_batch(rows: DataFrame, threshold: float, cooldown_minutes:
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Run a bounded stream to its end into a memory table, for replays and tests."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
+    """Run a bounded stream to its end and read what it wrote: Parquet in the shared folder, a folder a trigger.
+
+    In append mode the folders add up; in complete mode the last one is the result.  A trigger that is run again overwrites its
+    own folder, so a lost executor or a restart leaves no rows twice.
+    """
+    spark = stream.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{path}-state").start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if query.lastProgress is None:  # no data, no trigger
+        return spark.createDataFrame([], stream.schema)
+    found = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(path)
+    if mode == "complete":
+        found = found.where(F.col("batch") == found.agg(F.max("batch")).first()[0])
+    return found.drop("batch")
