@@ -3,62 +3,71 @@
 Jaccard distance is a metric.  Two documents link when their distance is at most e = 1 - percent / 100.
 
 1. Equal sets are one class, and one document of each stands for it from here on.
-2. Regions.  Whole documents as pivots cannot split a large corpus: unrelated texts are at distance 1 from any
-   pivot, so every window would hold everything.  The first pivots are therefore single shingles: with n shingles, a
-   document lies within distance 1 of the pivots it contains, and of its n - ceil(percent * n / 100) + 1 first ones
-   in any order of all shingles at least one is contained in every document it links to.  Documents around one pivot
-   meet; regions are the connected components, so that no link crosses regions and no document is in two.  The
-   order puts a quarter of all shingles first, by their exact number of documents, then the others, and last
-   the hot ones, whose counter in a sketch of all shingles is far above the mean.  Shingles of one document meet
-   nobody, so only those of two or more go on; and hot ones meet batch by batch before they are shuffled.
-3. Voronoi cells.  In a region of more than `leaf` documents, documents become pivots: all distances to them are
-   taken, documents in the ball of radius e around a pivot link to it, and so to each other's component.
-   By the triangle inequality a document x in the ball of p can only link out of it to y with d(y, p) <= d(x, p) + e;
-   where no document outside is that near, x is done.  The others, the boundary, go on to the next round.
-4. Leaves.  In one region's task the same goes on, pivot by pivot, with distances from an inverted index, until each
-   document is a pivot or in a ball; documents within 2e of a foreign pivot whose ball reaches that far
-   become pivots as well.  Nothing but documents that share shingles is ever compared.
+2. First regions.  Whole documents drawn at random cannot split a large corpus: unrelated texts are at distance 1 from any
+   of them, and every window would hold everything.  So windows come first.  Take the first m = n - ceil(percent * n / 100) + 1
+   of a document's n shingles, in any order of all shingles, as a point A of the space: the document is at distance
+   1 - m / n of A, and a text without any of A at distance 1, so by the triangle inequality at least m / n > e apart from the document.
+   The window of a document thus holds only those that share one of its m first shingles; the order takes a quarter of
+   all shingles first, by their exact number of documents, so that windows are small.  Of the documents that have a
+   shingle the least is the pivot, its region are all documents with that shingle among their first ones, and a document in
+   several windows is replicated to each of their pivots.  Any two documents that link meet in some region.  A region whose members
+   are all in the region of its own pivot's least pivot is dropped.
+3. Voronoi regions.  A region above `leaf` documents draws `pivots` pivots.  Each document is at home with its nearest one, or,
+   where none is nearer than 1/2, with a point that is 1/2 away from all (a metric stays one with such a point, and
+   unrelated documents do not crowd all windows).  Documents in the ball of radius e around a pivot link to it.  A boundary document is
+   replicated to an earlier pivot p where its distance is at most that to its own pivot plus 2e, and at most the radius of p's
+   region plus e; by the triangle inequality no other document links into that region.  A region whose
+   documents are all in one component already is done; the others are joined in the same way, recursively.
+4. Where the windows of a region hold more than twice its documents (all are about 2e apart, so no pivot tells them apart), or after
+   `levels` levels, its documents are dealt into blocks of half a leaf and every two blocks are one leaf, but for blocks of one
+   component.  So no task holds more than a leaf, whatever the region.
+5. Leaves.  One task joins a region pivot by pivot, with distances from an inverted index, until each document is a pivot or in
+   a ball; documents within 2e of a foreign pivot whose ball reaches that far become pivots as well.  Nothing but
+   documents that share shingles is ever compared.
 
 Shingles are equal when their 64-bit hashes are, and sets when their sizes and 128 bits of sums are.  Links are kept
 as stars, not as all pairs of a group.
 
 Cases: null text, or one without words, has an empty set and links to nothing; a text of fewer words than a shingle
 is one shingle; rows with one doc_id are one document; a null doc_id links to nothing; an empty table gives an empty
-result; other columns, whatever their names, pass by unread.
+result; a very long text is one set in one row; other columns, whatever their names, pass by unread.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.common import materialise, small_batches, table, text_or_empty
+from tempora.llm.common import free_name, materialise, small_batches, table, text_or_empty
 from tempora.llm.components import connected_components
 from tempora.llm.hashing import _BASE, blocks, mix, shingle_hashes, string_buffers, word_hashes
 
-#: Rows of ids (16 bytes each) that are broadcast at most; more are joined by a shuffle.
-MAX_BROADCAST = 1_000_000
+#: Rows of ids (up to 120 bytes each on an executor) that are broadcast at most, and shingles (8 bytes each) of pivots;
+#: beyond either the join is a shuffle.
+MAX_BROADCAST, MAX_BROADCAST_SHINGLES = 200_000, 2_000_000
 
 
 @dataclass(frozen=True)
 class Params:
-    """k: words of a shingle; percent: similarity of linked sets; sketch_bits: log2 of the sketch's counters;
-    hot: how many times the mean counter, and at least that often, makes a shingle hot; leaf: documents of a region that one task joins; rounds: of pivots in larger regions; pivots: in a round."""
+    """k: words of a shingle; percent: similarity of linked sets; leaf, leaf_shingles: documents, and shingles of them, that one
+    task joins; pivots: of a larger region; levels: of such regions inside one another."""
 
     k: int = 4
     percent: int = 85
-    sketch_bits: int = 20
-    hot: tuple[float, int] = (4.0, 64)
-    slices: int = 32
-    leaf: int = 2000
-    rounds: int = 4
+    leaf: int = 1000
+    leaf_shingles: int = 2_000_000
     pivots: int = 8
+    levels: int = 3
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, marked for a broadcast where it has few rows."""
+    return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
 
 
 def _shingles(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -69,44 +78,14 @@ def _shingles(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray,
         yield i, j, *shingle_hashes(words, at, k)
 
 
-def hot_counters(documents: DataFrame, p: Params) -> np.ndarray:
-    """Which counters of the sketch, found by the top bits of a shingle's hash, are hot."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << p.sketch_bits, np.int64)
-        for batch in batches:
-            for _, _, hashes, _ in _shingles(batch.column("text"), p.k):
-                counts += np.bincount((hashes >> np.uint64(64 - p.sketch_bits)).astype(np.int64), minlength=len(counts))
-        if counts.any():
-            parts = [zlib.compress(x.tobytes(), 1) for x in np.array_split(counts, p.slices)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(p.slices), pa.int32()), pa.array(parts, pa.binary())], ["slice", "part"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, part in zip(batch.column("slice").to_pylist(), batch.column("part").to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(part), np.int64)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], ["slice", "part"])
-
-    texts = documents.select(text_or_empty("text").alias("text"))
-    summed = texts.mapInArrow(count, "slice int, part binary").repartition(p.slices, "slice").mapInArrow(add, "slice int, part binary")
-    out = np.zeros((p.slices, (1 << p.sketch_bits) // p.slices), np.int64)
-    for row in summed.collect():  # 2^sketch_bits counters
-        out[row["slice"]] = np.frombuffer(zlib.decompress(bytes(row["part"])), np.int64)
-    return out.ravel() > max(p.hot[1], p.hot[0] * out.mean())
-
-
 def signatures(documents: DataFrame, p: Params) -> DataFrame:
-    """(doc_id, n, d1, d2, counted, fixed): size and digest of each row's set; its shingles of the first quarter, and as
-    many others as are needed where these are fewer than its pivots."""
-    shared = documents.sparkSession.sparkContext.broadcast(hot_counters(documents, p))
+    """(doc_id, n, d1, d2, first): size and digest of each row's set; its shingles of the first quarter, and as many others, in
+    the order of their hashes, as are needed where these are fewer than its window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
         for batch in batches:
-            sizes, one, two, counted, fixed = [], [], [], [], []
-            for _, _, hashes, at in _shingles(batch.column("text"), p.k):
+            for i, j, hashes, at in _shingles(batch.column("text"), p.k):
+                sizes, one, two, first = [], [], [], []
                 for a, b in zip(at[:-1], at[1:], strict=True):
                     own = np.unique(hashes[a:b])
                     n = len(own)
@@ -114,19 +93,17 @@ def signatures(documents: DataFrame, p: Params) -> DataFrame:
                     sizes.append(n)
                     one.append(int(mixed.sum(dtype=np.uint64).astype(np.int64)) if n else 0)
                     two.append(int(mix(mixed ^ _BASE).sum(dtype=np.uint64).astype(np.int64)) if n else 0)
-                    is_hot = hot[(own >> np.uint64(64 - p.sketch_bits)).astype(np.int64)]
                     quarter = (mixed & np.uint64(3)) == 0
-                    first = own[quarter & ~is_hot].astype(np.int64)
-                    more = max(_pivots(n, p.percent) - len(first), 0)
-                    counted.append(first)
-                    fixed.append(np.concatenate([own[~quarter & ~is_hot], own[is_hot]])[:more].astype(np.int64) if more else first[:0])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), _lists(counted), _lists(fixed)], ["doc_id", "n", "d1", "d2", "counted", "fixed"])
+                    counted = own[quarter]
+                    more = max(_window(n, p.percent) - len(counted), 0)
+                    first.append(np.concatenate([counted, own[~quarter][:more]]).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), _lists(first)], ["doc_id", "n", "d1", "d2", "first"])
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, counted array<long>, fixed array<long>")
+    return texts.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, first array<long>")
 
 
-def _pivots(n: int, percent: int) -> int:
+def _window(n: int, percent: int) -> int:
     """How many first shingles of a set of n meet every set that it links to."""
     return n + (-percent * n) // 100 + 1 if n else 0
 
@@ -136,83 +113,145 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64()))
 
 
-def _meetings(found: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
-    """(node, hub): each document around a pivot with another one around it."""
-    nodes = classes.select("node", "d1", "d2", "n")
-    if nodes.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        nodes = F.broadcast(nodes)
-    rows = found.join(nodes, ["d1", "d2", "n"]).where("doc_id = node").select("node", "n", "counted", "fixed")
-
-    # the first quarter: how many documents have each shingle; hot ones are not among them, so no group is large
-    each = rows.select("node", F.explode("counted").alias("key"))
-    shared = each.withColumn("docs", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("docs > 1")
-    own = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("docs", "key"))).alias("shared"))  # of one set
-    budget = (F.col("n") - F.ceil(p.percent * F.col("n") / 100) + 1 - (F.size("counted") - F.size("shared"))).cast("int")
-    kept = own.join(rows.select("node", "n", "counted"), "node").select("node", F.explode(F.slice("shared", 1, F.greatest(budget, F.lit(0)))).alias("x")).select(F.col("x.key").alias("key"), "node", F.lit(None).cast("long").alias("hub"))
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("fixed")
-            keys = np.asarray(lists.flatten())
-            nodes = np.repeat(np.asarray(batch.column("node")), np.diff(np.asarray(lists.offsets)))
-            order = np.argsort(keys, kind="stable")
-            keys, nodes = keys[order], nodes[order]
-            first = np.ones(len(keys), bool)
-            first[1:] = keys[1:] != keys[:-1]
-            hub = nodes[first][np.cumsum(first) - 1] if len(nodes) else nodes
-            near = np.unique(np.stack([nodes[~first], hub[~first]], axis=1), axis=0) if (~first).any() else np.zeros((0, 2), np.int64)
-            spread = mix((near[:, 0] + near[:, 1]).astype(np.uint64)).astype(np.int64)  # finished rows, dealt out evenly
-            alone = np.arange(first.sum() + len(near)) < first.sum()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([keys[first], spread])), pa.array(np.concatenate([nodes[first], near[:, 0]])), pa.array(np.concatenate([np.zeros(first.sum(), np.int64), near[:, 1]]), mask=alone)], ["key", "node", "hub"]
-            )
-
-    others = rows.where(F.size("fixed") > 0).select("node", "fixed").mapInArrow(meet, "key long, node long, hub long")
-    met = kept.unionByName(others).withColumn("least", F.min("node").over(Window.partitionBy("key")))
-    return met.select("node", F.coalesce("hub", "least").alias("hub")).where("node != hub").distinct()
+def _regions(found: DataFrame, twins: DataFrame, p: Params) -> DataFrame:
+    """(node, region, size, weight): each document in the regions of its windows' pivots; regions have two members or more.
+
+    Counts are taken by partial aggregation, so a shingle of very many documents is a row a task there; its rows then
+    meet its count in a join that Spark can split.
+    """
+    rows = found.where("n > 0 and doc_id is not null").join(_small(twins), ["d1", "d2", "n"], "left").where("node is null or node = doc_id").select(F.col("doc_id").alias("node"), "n", "d1", "d2", "first")
+    if _repeats(found):
+        rows = rows.dropDuplicates(["node", "d1", "d2", "n"])
+    each = rows.select("node", "n", F.size("first").alias("listed"), F.explode("first").alias("key"))
+    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min("node").alias("pivot")).where("docs > 1")
+    met = each.join(shared, "key")
+    # of one set: its shared shingles by their number of documents; those of nobody else come before them in its window
+    own = met.groupBy("node", "n", "listed").agg(F.array_sort(F.collect_list(F.struct("docs", "key", "pivot"))).alias("shared"))
+    budget = (F.col("n") - F.ceil(p.percent * F.col("n") / 100) + 1 - (F.col("listed") - F.size("shared"))).cast("int")
+    pivots = F.array_sort(F.array_distinct(F.transform(F.slice("shared", 1, F.greatest(budget, F.lit(0))), lambda x: x["pivot"])))
+    placed = own.select("node", "n", pivots.alias("pivots")).where(F.size("pivots") > 0)
+    placed = materialise(placed.groupBy("node").agg(F.max("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pivots")))).alias("pivots")), "jaccard-windows")
+
+    upper = placed.where(F.get("pivots", 0) < F.col("node")).select(F.col("node").alias("region"), F.get("pivots", 0).alias("upper"))
+    members = placed.select("node", "n", "pivots", F.explode("pivots").alias("region")).join(upper, "region", "left")
+    covered = F.col("upper").isNotNull() & F.coalesce(F.array_contains("pivots", F.col("upper")), F.lit(False))
+    sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min(covered).alias("covered"))
+    sizes = materialise(sizes.where("size > 1 and not covered").drop("covered"), "jaccard-regions")
+    return placed.select("node", F.explode("pivots").alias("region")).join(_small(sizes), "region")
 
 
 def _sets(documents: DataFrame, regions: DataFrame, p: Params) -> DataFrame:
-    """(region, node, n, shingles): the sets of the documents that are in regions."""
+    """(region, node, n, shingles): the sets of the documents that are in regions, once a region."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lists = batch.column("regions")
+            ends, regions_of = np.asarray(lists.offsets), np.asarray(lists.values)
+            nodes = np.asarray(batch.column("node"))
             for i, j, hashes, at in _shingles(batch.column("text"), p.k):
                 own = [np.unique(hashes[a:b]).astype(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)]
-                sizes = np.array([len(x) for x in own], np.int64)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("region").slice(i, j - i), batch.column("node").slice(i, j - i), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own)))],
-                    ["region", "node", "n", "shingles"],
-                )
-
-    if regions.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        regions = F.broadcast(regions)
+                times = np.diff(ends[i : j + 1])
+                which = np.repeat(np.arange(j - i), times)
+                sizes = np.array([len(x) for x in own], np.int64)[which]
+                yield pa.RecordBatch.from_arrays([pa.array(regions_of[ends[i] : ends[j]]), pa.array(nodes[i:j][which]), pa.array(sizes), _lists([own[x] for x in which])], ["region", "node", "n", "shingles"])
+
+    placed = regions.groupBy("node").agg(F.collect_list("region").alias("regions"))
     texts = documents.select(F.col("doc_id").cast("long").alias("node"), text_or_empty("text").alias("text"))
-    return texts.join(regions, "node").select("region", "node", "text").mapInArrow(run, "region long, node long, n long, shingles array<long>").where("n > 0")
+    return texts.join(_small(placed), "node").select("regions", "node", "text").mapInArrow(run, "region long, node long, n long, shingles array<long>").where("n > 0")
+
 
+def _too_large(size: Column, weight: Column, p: Params) -> Column:
+    return (size > 2) & ((size > p.leaf) | (weight > p.leaf_shingles))
 
-def _round(sets: DataFrame, p: Params, seed: int) -> tuple[DataFrame, DataFrame]:
-    """One round of pivots over large regions: (links to pivots, the sets that are not done)."""
+
+def _measured(sets: DataFrame, p: Params, seed: int) -> DataFrame:
+    """sets with `near`, the distances to the pivots of their region and whether they link to them."""
     spread = F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(p.pivots))
-    first = F.min(F.struct(F.xxhash64("node", F.lit(seed + 1)).alias("h"), "node", "n", "shingles"))
-    chosen = sets.groupBy("region", spread.alias("cell")).agg(first.alias("x")).groupBy("region").agg(F.collect_list(F.struct(F.col("x.node").alias("node"), F.col("x.n").alias("n"), F.col("x.shingles").alias("shingles"))).alias("pivots"))
-    chosen = materialise(chosen, "jaccard-pivots")  # `pivots` sets a region
-    if chosen.limit(65).count() <= 64:
+    drawn = sets.groupBy("region", spread.alias("at")).agg(F.min(F.struct(F.xxhash64("node", F.lit(seed + 1)).alias("h"), "node", "n", "shingles")).alias("x"))
+    chosen = materialise(drawn.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("x.node", "x.n", "x.shingles"))).alias("drawn")), "jaccard-pivots")  # `pivots` sets a region
+    weight = chosen.select(F.sum(F.aggregate("drawn", F.lit(0).cast("long"), lambda s, q: s + q["n"]))).first()[0] or 0
+    if weight <= MAX_BROADCAST_SHINGLES:
         chosen = F.broadcast(chosen)
-    common = lambda q: F.size(F.array_intersect("shingles", q["shingles"])).cast("long")
-    measured = sets.join(chosen, "region").withColumn("near", F.transform("pivots", lambda q: F.struct(q["node"].alias("pivot"), common(q).alias("c"), (F.col("n") + q["n"]).alias("both")))).drop("pivots")
-    distance = lambda q: 1 - q["c"] / (q["both"] - q["c"])
-    linked = lambda q: 100 * q["c"] >= p.percent * (q["both"] - q["c"])
-    measured = measured.withColumn("near", F.transform("near", lambda q: F.struct(q["pivot"].alias("pivot"), distance(q).alias("d"), linked(q).alias("linked"))))
-    measured = materialise(measured, "jaccard-round")
-    links = measured.select("node", F.explode(F.filter("near", lambda q: q["linked"])).alias("q")).select("node", F.col("q.pivot").alias("hub")).where("node != hub")
-    outside = measured.select("region", F.explode("near").alias("q")).where("not q.linked").groupBy("region", "q.pivot").agg(F.min("q.d").alias("d"))
-    windows = outside.groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("pivot", "d"))).alias("window"))
-    e = 1 - p.percent / 100
-    done = F.exists("near", lambda q: q["linked"] & (q["d"] + e + 1e-9 < F.coalesce(F.element_at("window", q["pivot"]), F.lit(2.0))))
-    rest = measured.join(windows, "region", "left").withColumn("window", F.coalesce("window", F.create_map().cast("map<bigint,double>"))).where(~done)
-    return links, rest.select("region", "node", "n", "shingles")
+
+    def compared(q: Column) -> Column:
+        return F.struct(q["node"].alias("pivot"), F.size(F.array_intersect("shingles", q["shingles"])).cast("long").alias("c"), (F.col("n") + q["n"]).alias("both"))
+
+    near = F.transform(F.transform("drawn", compared), lambda q: F.struct(q["pivot"].alias("pivot"), (1 - q["c"] / (q["both"] - q["c"])).alias("d"), (100 * q["c"] >= p.percent * (q["both"] - q["c"])).alias("linked")))
+    return materialise(sets.join(chosen, "region").select("region", "node", "n", "shingles", near.alias("near")), "jaccard-measured")
+
+
+#: Distance of every document to the point that is home to those far from all pivots.
+FAR = 0.5
+
+
+def _voronoi(measured: DataFrame, p: Params) -> DataFrame:
+    """(region, home, cell, node, n, shingles, component): documents at home with their nearest pivot, and as guests where windows reach."""
+    e, slack = 1 - p.percent / 100, 1e-9
+    cells = F.concat(F.transform("near", lambda q: q["d"]), F.array(F.lit(FAR)))
+    homed = measured.withColumn("ds", cells).withColumn("best", F.array_min("ds")).withColumn("home", F.array_position("ds", F.col("best")).cast("int") - 1)
+    radius = homed.groupBy("region", "home").agg(F.max("best").alias("r")).groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("home", "r"))).alias("radius"))  # `pivots` entries a region
+    homed = homed.join(_small(radius), "region")
+    reached = F.filter(
+        F.sequence(F.lit(0), F.col("home")),
+        lambda i: (i == F.col("home")) | ((F.get("ds", i) <= F.col("best") + 2 * e + slack) & (F.get("ds", i) <= F.element_at("radius", i) + e + slack)),
+    )
+    return homed.select("region", "home", F.explode(reached).alias("cell"), "node", "n", "shingles", "component")
+
+
+def _open(parts: DataFrame, *by: str) -> DataFrame:
+    """(by, size, weight) of the groups that have two documents of different components, or of none yet."""
+    stats = parts.groupBy(*by).agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.count("component").alias("known"), F.min("component").alias("a"), F.max("component").alias("b"))
+    return stats.where("size > 1 and not (known = size and a = b)").select(*by, "size", "weight")
+
+
+#: Stands for all components that have no blocks of their own; no doc_id.
+MIXED = -(2**62)
+
+
+def _blocks(sets: DataFrame, p: Params) -> DataFrame:
+    """(region, node, n, shingles): regions as pairs of blocks; a block is a share of one component, or of all smaller ones together."""
+    half = max(p.leaf // 2, 1)
+    big = sets.groupBy("region", "component").agg(F.count(F.lit(1)).alias("docs")).where(F.col("component").isNotNull() & (F.col("docs") > half))
+    marked = sets.join(_small(big.select("region", "component", F.lit(True).alias("big"))), ["region", "component"], "left")
+    marked = marked.select("region", F.when(F.col("big"), F.col("component")).otherwise(MIXED).alias("own"), "node", "n", "shingles")
+    marked = materialise(marked, "jaccard-marked")
+    parts = marked.groupBy("region", "own").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("weight"))
+    parts = materialise(parts.select("region", "own", F.greatest(F.ceil(F.col("docs") / half), F.ceil(2 * F.col("weight") / p.leaf_shingles)).cast("int").alias("shares")), "jaccard-shares")
+    each = parts.select("region", "own", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    other = each.select("region", F.col("own").alias("own2"), F.col("share").alias("share2"))
+    one_component = (F.col("own") == F.col("own2")) & (F.col("own") != MIXED)
+    pairs = each.join(other, "region").where((F.struct("own", "share") <= F.struct(F.col("own2").alias("own"), F.col("share2").alias("share"))) & ~one_component)  # summaries of blocks only
+    pairs = pairs.withColumn("pair", F.xxhash64("region", "own", "share", "own2", "share2"))
+    sides = pairs.select("region", "own", "share", "pair").unionByName(pairs.select("region", F.col("own2").alias("own"), F.col("share2").alias("share"), "pair")).distinct()
+    dealt = marked.join(_small(parts), ["region", "own"]).withColumn("share", F.pmod(F.xxhash64("node", F.lit(17)), F.col("shares")).cast("int"))
+    met = dealt.join(_small(sides), ["region", "own", "share"])
+    return met.select(F.col("pair").alias("region"), "node", "n", "shingles")
+
+
+def _divided(sets: DataFrame, p: Params) -> tuple[DataFrame | None, DataFrame]:
+    """(links to pivots, the regions that are left, none above a leaf) of regions that are all above a leaf."""
+    links, leaves, rest = None, None, sets
+    add = lambda whole, part: part if whole is None else whole.unionByName(part)
+    kept = lambda df: df.select("region", "node", "n", "shingles")
+    for level in range(p.levels):
+        measured = _measured(rest, p, 100 + 2 * level)
+        links = add(links, measured.select("node", F.explode(F.filter("near", lambda q: q["linked"])).alias("q")).select("node", F.col("q.pivot").alias("hub")).where("node != hub").distinct())
+        components = connected_components(links)
+        measured = measured.join(_small(components), "node", "left")
+        cells = materialise(_voronoi(measured, p), "jaccard-cells")
+        open_cells = materialise(_open(cells, "region", "cell"), "jaccard-open")
+        before = measured.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
+        spread = materialise(open_cells.groupBy("region").agg(F.sum("size").alias("after")).join(before, "region").select("region", (F.col("after") <= 2 * F.col("size")).alias("splits")), "jaccard-splits")
+        splits, stuck = spread.where("splits").select("region"), spread.where("not splits").select("region")
+        leaves = add(leaves, _blocks(measured.join(_small(stuck), "region").drop("near"), p))
+        inside = cells.join(_small(open_cells.join(splits, "region")), ["region", "cell"]).withColumn("region", F.xxhash64("region", "cell", F.lit(level)))
+        large = _too_large(F.col("size"), F.col("weight"), p)
+        leaves = add(leaves, kept(inside.where(~large)))
+        rest = materialise(kept(inside.where(large)), "jaccard-rest")
+        if not rest.limit(1).count():
+            return links, leaves
+    rest = rest.join(_small(connected_components(links)), "node", "left")
+    return links, leaves.unionByName(_blocks(rest, p))
 
 
 def join_region(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -308,37 +347,23 @@ def _leaves(sets: DataFrame, p: Params, partitions: int) -> DataFrame:
 
 
 def components(documents: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
-    """(one row for each row of documents: doc_id, n, d1, d2; classes: d1, d2, n, node, component)."""
+    """(one row for each row of documents: doc_id, n, d1, d2; twins: d1, d2, n, node of the sets of several rows; components: node, component)."""
     p = params
     small_batches(documents.sparkSession)
     found = materialise(signatures(documents, p), "jaccard-signatures")
-    classes = found.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"))
-    classes = materialise(classes, "jaccard-classes")
-    links = connected_components(_meetings(found, classes, p))  # node, component; singles have no row
-    small = links.select("node", F.col("component").alias("region"))
-    sets = materialise(_sets(documents, small, p).dropDuplicates(["region", "node", "n"]) if _repeats(found) else _sets(documents, small, p), "jaccard-sets")
-    sizes = materialise(sets.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).where(F.col("size") > p.leaf), "jaccard-large")
-    n_large = sizes.count()
-    stars = None
-    if n_large:
-        marked = sets.join(F.broadcast(sizes.select("region", "size")) if n_large <= MAX_BROADCAST else sizes.select("region", "size"), "region", "left")
-        rest, leaves = marked.where("size is not null").drop("size"), marked.where("size is null").drop("size")
-        for k in range(p.rounds):
-            met, rest = _round(rest, p, 100 + 2 * k)
-            met = materialise(met, "jaccard-links")
-            stars = met if stars is None else stars.unionByName(met)
-            rest = materialise(rest, "jaccard-rest")
-            if not rest.groupBy("region").count().where(F.col("count") > p.leaf).limit(1).count():
-                break
-        sets = leaves.unionByName(rest)
+    classes = found.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"))
+    twins = materialise(classes.where("rows > 1").drop("rows"), "jaccard-classes")
+    regions = materialise(_regions(found, twins, p), "jaccard-members")
+    repeats = _repeats(found)
     partitions = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    joined = _leaves(sets, p, partitions)
-    if stars is None:
-        found_components = joined.select("node", F.col("hub").alias("component"))
+    large = _too_large(F.col("size"), F.col("weight"), p)
+    whole = lambda x: x.dropDuplicates(["region", "node", "n"]) if repeats else x
+    if not regions.where(large).limit(1).count():
+        links = _leaves(whole(_sets(documents, regions, p)), p, partitions)
     else:
-        found_components = connected_components(stars.unionByName(joined))
-    labelled = classes.join(found_components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return found.drop("counted", "fixed"), labelled
+        links, parts = _divided(materialise(whole(_sets(documents, regions.where(large), p)), "jaccard-large"), p)
+        links = _leaves(whole(_sets(documents, regions.where(~large), p)).unionByName(parts), p, partitions).unionByName(links)
+    return found.drop("first"), twins, connected_components(links)
 
 
 def _repeats(found: DataFrame) -> bool:
@@ -348,9 +373,10 @@ def _repeats(found: DataFrame) -> bool:
 
 def link(documents: DataFrame, params: Params = Params()) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row for each row of documents."""
-    rows, classes = components(documents, params)
-    placed = rows.join(classes.select("d1", "d2", "n", "component"), ["d1", "d2", "n"], "left")
-    return placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    rows, twins, found = components(documents, params)
+    placed = rows.join(_small(twins), ["d1", "d2", "n"], "left").withColumn("node", F.coalesce("node", F.when(F.col("n") > 0, F.col("doc_id"))))
+    placed = placed.join(_small(found), "node", "left")
+    return placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,10 +387,9 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component of docs (5-word shingles, similarity 0.8) the row with the least doc_id."""
     linked = materialise(link(docs, Params(k=5, percent=80)), "jaccard-linked")
-    gone = linked.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    if gone.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    name = free_name(docs, "gone")
+    gone = linked.where("doc_id != component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(_small(gone), F.col("doc_id").cast("long") == F.col(name), "left_anti")
     if _repeats(linked):
         kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
     return kept

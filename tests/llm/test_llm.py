@@ -130,14 +130,34 @@ def near_copies(seed: int) -> list[tuple[int, str]]:
     return out
 
 
-@pytest.mark.parametrize(("seed", "k", "percent", "leaf"), [(1, 4, 85, 2000), (2, 4, 85, 3), (3, 5, 80, 2)])
-def test_jaccard_join(spark, seed, k, percent, leaf):
+@pytest.mark.parametrize(("seed", "k", "percent", "leaf", "levels"), [(1, 4, 85, 1000, 3), (2, 4, 85, 3, 2), (3, 5, 80, 4, 1)])
+def test_jaccard_join(spark, seed, k, percent, leaf, levels):
     rows = near_copies(seed) + [(100000 + i, t) for i, t in ODD[:9]]
     want = brute.components(rows, k, percent)
-    got = jaccard_join.link(documents(spark, rows), jaccard_join.Params(k=k, percent=percent, leaf=leaf, rounds=2, pivots=2, hot=(0.0, 3 if seed % 2 else 64))).collect()
+    got = jaccard_join.link(documents(spark, rows), jaccard_join.Params(k=k, percent=percent, leaf=leaf, pivots=2, levels=levels)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def test_jaccard_group_of_near_copies_is_split(spark):
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(150)]
+    rows = [(k, " ".join(base[k % 140 : k % 140 + 10]) if k % 50 == 49 else " ".join(w if rng.random() > 0.008 else f"x{k}" for w in base)) for k in range(150)]  # most within e of each other, some apart
+    p = jaccard_join.Params(leaf=20, pivots=3, levels=2)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link(documents(spark, rows), p).collect()}
+    assert got == brute.components(rows)
+
+
+def test_jaccard_chain_has_no_large_region(spark):
+    words = [f"c{k}" for k in range(700)]
+    rows = [(k, " ".join(words[k : k + 60])) for k in range(600)]  # each links to its neighbours only, all are one component
+    p = jaccard_join.Params()
+    found = jaccard_join.signatures(documents(spark, rows), p)
+    none = spark.createDataFrame([], "d1 long, d2 long, n long, node long")
+    sizes = [r["size"] for r in jaccard_join._regions(found, none, p).select("region", "size").distinct().collect()]
+    assert max(sizes) < 130
+    assert {r["component_id"] for r in jaccard_join.link(documents(spark, rows)).collect()} == {0}
+
+
 def test_jaccard_region_alone():
     for seed in range(5):
         rows = [x for x in near_copies(seed) if x[1]]
