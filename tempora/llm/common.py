@@ -56,8 +56,8 @@ def one_label(labels: DataFrame, label: str) -> DataFrame:
     return labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("label"))
 
 
-#: Labels of at most this many rows (16 bytes each) are broadcast; more are joined by a shuffle.
-MAX_BROADCAST_LABELS = 2_000_000
+#: Labels of at most this many rows (up to 100 bytes each on an executor) are broadcast; more are joined by a shuffle.
+MAX_BROADCAST_LABELS = 400_000
 
 
 def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:

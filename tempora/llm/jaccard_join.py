@@ -133,7 +133,7 @@ def _regions(found: DataFrame, twins: DataFrame, p: Params) -> DataFrame:
     placed = materialise(placed.groupBy("node").agg(F.max("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pivots")))).alias("pivots")), "jaccard-windows")
 
     upper = placed.where(F.get("pivots", 0) < F.col("node")).select(F.col("node").alias("region"), F.get("pivots", 0).alias("upper"))
-    members = placed.select("node", "n", "pivots", F.explode("pivots").alias("region")).join(upper, "region", "left")
+    members = placed.select("node", "n", "pivots", F.explode("pivots").alias("region")).join(_small(upper), "region", "left")
     covered = F.col("upper").isNotNull() & F.coalesce(F.array_contains("pivots", F.col("upper")), F.lit(False))
     sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min(covered).alias("covered"))
     sizes = materialise(sizes.where("size > 1 and not covered").drop("covered"), "jaccard-regions")

@@ -265,10 +265,28 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_counts_grow_with_the_words(spark):
-    rows = [(k, " ".join(f"w{k}x{j}" for j in range(1000))) for k in range(600)]  # 600,000 words and pairs, each once
-    counted = toxicity.count(documents(spark, rows).select("text", (F.col("doc_id") % 2).cast("int").alias("label")))
-    got = {r["kind"]: (r["rows"], r["n"], r["most"]) for r in counted.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("n0") + F.col("n1")).alias("n"), F.max(F.col("n0") + F.col("n1")).alias("most")).collect()}
-    assert got == {toxicity.PAIR: (600000, 600000, 1), toxicity.WORD: (600000, 600000, 1)}
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(1000))) for k in range(600)]  # 600,000 words, each once
+    words, _ = toxicity.count(documents(spark, rows).select("text", (F.col("doc_id") % 2).cast("int").alias("label")), toxicity.Params())
+    both = F.col("n0") + F.col("n1")
+    assert tuple(words.agg(F.count(F.lit(1)), F.sum(both), F.max(both), F.sum(F.col("c0") + F.col("c1"))).first()) == (600000, 600000, 1, 600 * 999)
+
+
+def test_toxicity_is_kneser_ney(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(12)] + ["stemone", "stemtwo", "stemsix"]
+    rows = [(k, " ".join(rng.choice(vocabulary[: 8 + k % 8]) if rng.random() < 0.8 else f"rare{k}" for _ in range(rng.randrange(1, 40)))) for k in range(120)]
+    p = toxicity.Params(discount=1.5, discount_pair=6)
+    labelled = documents(spark, rows).select("text", (F.col("doc_id") % 3 == 0).cast("int").alias("label"))
+    words, pairs = toxicity.count(labelled, p)
+    ratio = brute.kneser_ney([(t, int(k % 3 == 0)) for k, t in rows], p.discount, p.discount_pair)
+    texts = [t for _, t in rows] + ["unseen", "stemten w1 w2", "w1 unseen w2 w3 w4 w5 w6 w7 w0 w1 w2 w3"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    rated = toxicity.ratios(words.select("a", "b", "n0", "n1", "c0", "c1"), pairs, p)
+    assert {r["kind"] for r in rated.select("kind").distinct().collect()} == {0, 1, 2, 3, 4}
+    for r in toxicity.measure(df, rated).collect():
+        want = sorted(ratio(texts[r["k"]]))
+        cut = len(want) // 10
+        assert (r["n"], r["mean"], r["middle"]) == pytest.approx((len(want), np.mean(want), np.mean(want[cut : len(want) - cut])), abs=1e-9)
 
 
 def test_toxicity_counts_every_labelled_row(spark):
@@ -276,8 +294,8 @@ def test_toxicity_counts_every_labelled_row(spark):
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(toxicity.Params().calibrate)) == 0
     df = df.withColumn("text", F.when(fold & (F.col("doc_id") % 3 == 0), F.concat(F.lit("moron "), "text")).otherwise(F.col("text")))  # only in held-out rows, and toxic
     model = toxicity.fit(df, labels)
-    counts = toxicity.count(common.labelled(df, labels).withColumn("held", fold))
-    assert toxicity.without_held(counts).where(f"kind = {toxicity.WORD}").count() < counts.where(f"kind = {toxicity.WORD}").count()
+    words, _ = toxicity.count(common.labelled(df, labels).withColumn("held", fold), toxicity.Params())
+    assert toxicity.without_held(words).count() < words.count()
     score = {r["doc_id"]: r["score"] for r in toxicity.score(documents(spark, [(1, "tok1 unseen tok3"), (2, "tok1 moron tok3")]), model).collect()}
     assert score[2] > score[1]
 
