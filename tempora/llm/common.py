@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from tempora.sources.shared import shared_folder
 
@@ -38,6 +41,11 @@ def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, marked for a broadcast where it has at most so many rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that starts with `wanted` and that df does not have, whatever the case of its names."""
     taken = {c.lower() for c in df.columns}
@@ -46,6 +54,23 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def append_columns(df: DataFrame, run: Callable[[pa.RecordBatch], list[pa.Array]], more: dict[str, DataType]) -> DataFrame:
+    """df with the columns that run makes of each Arrow batch; run finds columns by their place, as names may be anything."""
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    schema = StructType([*plain.schema.fields, *[StructField(f"n{k}", kind) for k, kind in enumerate(more.values())]])
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *run(batch)], schema.names)
+
+    return plain.mapInArrow(batches, schema).toDF(*df.columns, *more)
+
+
 def remainder(doc_id: str | Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo divisor; the fold of a labelled row."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id), F.lit(divisor))

@@ -1,17 +1,23 @@
 """Personal data: base patterns, and bootstrapped contextual extraction, by DataFrame operations only.
 
-Base spans (e-mail, IP address, card, phone) are the seeds.  The words around each seed, and around each other token that
-looks like an identifier, are lexical patterns.  Patterns and instances form a graph, scored in turns: a pattern's
-score for a kind is the mean score of the instances it surrounds, an instance's the mean score of its patterns, and
-seeds stay 1.  Patterns that many seeds support and that score high then mark the unseen tokens they surround.
-
-A text is matched in place; only occurrences (spans with a few words of context) are shuffled.  Edges are distinct
-(pattern, instance) pairs, counted before they are shuffled, so a frequent pattern or a group of copies weighs once.
+Base spans (e-mail, IP address, card, phone) are the seeds.  Candidates are other words with four digits or an inner @, and
+runs of digit groups with single blanks, dots, dashes, slashes or brackets between them.  The whole words around seeds and
+candidates are lexical patterns (two words before; the word before; the words on both sides).  Patterns and instances, the
+different strings that they surround, form a graph, scored in turns: a pattern's score for a kind is the mean
+score of its instances, and it is trusted where that is at least MIN_SCORE and MIN_SEEDS of them are accepted for that kind.  A
+candidate with a trusted pattern is accepted, with the mean score of its trusted patterns.  So accepted candidates support patterns
+of their own in the next turn, until a turn accepts nothing new.  Seeds stay 1.
+
+A text is matched in place; only occurrences (spans with a few words of context) are shuffled.  Edges are different
+(pattern, instance) pairs, so a group of copies weighs once; patterns that have fewer than MIN_SEEDS instances can never
+be trusted and are left out.  Trusted patterns and accepted instances are broadcast up to MAX_BROADCAST rows, checked.
 
 The expressions are those of the base, written so that a long run without a match is passed once.
 
-Cases: null text is the empty text, without spans; offsets are code points; repeated rows are answered one by one
-and weigh once; an empty table gives an empty result; other columns, whatever their names, pass by unread.
+Cases: null text is the empty text, without spans; offsets are code points; a very long text is matched whole, in time that grows
+little faster than its matches; a word of context longer than REACH characters, or not wholly within as many, makes no pattern; repeated rows
+are answered one by one and weigh once; of patterns that tie, the later kind of KINDS counts; an empty table gives an empty
+result; other columns, whatever their names, pass by unread.
 """
 
 from __future__ import annotations
@@ -21,14 +27,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.common import materialise, table, text_or_empty
+from tempora.llm.common import materialise, small, table, text_or_empty
 from tempora.llm.quality_rules import bind
 
 KINDS = ("email", "ip", "card", "phone")
-#: Distinct seeds that a pattern needs, its least score, and turns of scoring.
-MIN_SEEDS, MIN_SCORE, TURNS = 5, 0.8, 2
-#: Characters of context that are kept on each side.
-REACH = 48
+#: Accepted instances that a pattern needs, its least score, and turns at most: each accepts one more, so it is only a stop.
+MIN_SEEDS, MIN_SCORE, TURNS = 5, 0.8, 30
+#: Characters of context that are looked at on each side.
+REACH = 160
+#: Rows of patterns or instances (up to 300 bytes each) that are broadcast at most.
+MAX_BROADCAST = 100_000
+#: Matches of one text that are placed together, and characters of a text that are looked up together.
+_RUN, _BLOCK = 128, 1024
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _NO_SPANS = "array<struct<start:int,end:int,s:string>>"
 
@@ -38,17 +48,32 @@ def located(text: Column, regex: str, guard: Column, valid: Callable[[Column], C
     none = F.array().cast(_NO_SPANS)
     both = F.struct(F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("found"), F.split(text, regex, -1).alias("gaps"))
 
+    def length(b: Column, i: Column) -> Column:
+        return F.char_length(F.get(b["gaps"], i)) + F.char_length(F.get(b["found"], i))
+
     def walk(b: Column) -> Column:
-        def step(state: Column, i: Column) -> Column:
-            match = F.get(b["found"], i)
-            start = (state["at"] + F.char_length(F.get(b["gaps"], i))).cast("int")
-            return bind(
-                F.struct(start.alias("start"), (start + F.char_length(match)).cast("int").alias("end"), match.alias("s")),
-                lambda x: F.struct(x["end"].alias("at"), F.when(valid(x["s"]), F.concat(state["out"], F.array(x))).otherwise(state["out"]).alias("out")),
-            )
+        n = F.size(b["found"])
+        last = F.floor((n - 1) / _RUN).cast("int")
+
+        def inside(first: Column, at: Column) -> Column:
+            """The spans of one run of matches, the first of which comes after the gap at `at`."""
 
-        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-        return F.when(F.size(b["found"]) == 0, none).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(b["found"]) - 1), start, step, lambda s: s["out"]))
+            def step(state: Column, i: Column) -> Column:
+                start = (state["at"] + F.char_length(F.get(b["gaps"], i))).cast("int")
+                match = F.get(b["found"], i)
+                return bind(
+                    F.struct(start.alias("start"), (start + F.char_length(match)).cast("int").alias("end"), match.alias("s")),
+                    lambda x: F.struct(x["end"].alias("at"), F.when(valid(x["s"]), F.concat(state["out"], F.array(x))).otherwise(state["out"]).alias("out")),
+                )
+
+            return F.aggregate(F.sequence(first, F.least(first + _RUN, n) - 1), F.struct(at.alias("at"), none.alias("out")), step, lambda s: s["out"])
+
+        # the place of each run first, as a sum of lengths; then the runs, each by itself, so that no array is copied a match
+        total = lambda k: F.aggregate(F.sequence(k * _RUN, k * _RUN + _RUN - 1), F.lit(0), lambda s, i: (s + length(b, i)).cast("int"))
+        place = lambda ats, k: F.concat(ats, F.array((F.element_at(ats, -1) + total(k)).cast("int")))
+        places = F.when(last == 0, F.array(F.lit(0))).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(last - 1, F.lit(0))), F.array(F.lit(0)), place))
+        runs = F.flatten(F.transform(places, lambda at, k: inside((k * _RUN).cast("int"), at)))
+        return F.when(n == 0, none).otherwise(runs)
 
     return F.when(guard, bind(both, walk)).otherwise(none)
 
@@ -82,11 +107,12 @@ def base_spans(text: Column) -> list[Column]:
 
 
 def other_tokens(text: Column) -> Column:
-    """Spans of words that look like identifiers, without the punctuation around them: four digits or an @ inside."""
+    """Spans of what looks like an identifier, without the punctuation around it: words with four digits or an @ inside, and runs of digit groups."""
     space = r"\x20\x09-\x0D"
-    tokens = located(text, rf"(?<![^{space}])[^{space}0-9@]*+[0-9@][^{space}]*+", text.rlike("[0-9@]"), lambda s: s.rlike(r"(?:[0-9][^0-9]*){4}|[^@]@[^@]"))
-    lead = lambda x: F.char_length(F.regexp_extract(x["s"], r"^[^\p{L}\p{N}+]*", 0))
-    core = lambda x: F.regexp_extract(x["s"], r"^[^\p{L}\p{N}+]*(.*?)[^\p{L}\p{N}]*$", 1)
+    run = r"(?<![0-9A-Za-z(])\(?[0-9]++\)?(?:[ ./-]{1,2}\(?[0-9]++\)?)++"
+    tokens = located(text, rf"{run}|(?<![^{space}])[^{space}0-9@]*+[0-9@][^{space}]*+", text.rlike("[0-9@]"), lambda s: s.rlike(r"(?:[0-9][^0-9]*){4}|[^@]@[^@]"))
+    lead = lambda x: F.char_length(F.regexp_extract(x["s"], r"^(?!\([0-9]+\))[^\p{L}\p{N}+]*", 0))
+    core = lambda x: F.regexp_extract(x["s"], r"^(?:(?=\([0-9]+\))|[^\p{L}\p{N}+]*)(.*?)[^\p{L}\p{N}]*$", 1)
     return F.transform(tokens, lambda x: F.struct((x["start"] + lead(x)).cast("int").alias("start"), (x["start"] + lead(x) + F.char_length(core(x))).cast("int").alias("end"), core(x).alias("s")))
 
 
@@ -104,12 +130,23 @@ def scan(documents: DataFrame) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
     rows = rows.select("doc_id", "text", *[x.alias(k) for k, x in zip(KINDS, base_spans(text), strict=True)])
     labelled = F.concat(*[F.transform(k, _of_kind(i)) for i, k in enumerate(KINDS)])
-    rows = rows.select("doc_id", "text", labelled.alias("spans"), *KINDS)
-    apart = lambda x: ~F.exists("spans", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+    rows = rows.select("doc_id", "text", F.char_length("text").alias("length"), labelled.alias("spans"))
+    # spans by the blocks of the text that they touch, so that a candidate is held against those near it only
+    at = lambda place: F.floor(place / _BLOCK).cast("int")
+    touching = lambda i: F.filter("spans", lambda y: (at(y["start"]) <= i) & (at(y["end"] - 1) >= i))
+    rows = rows.withColumn("near", F.when(F.size("spans") > 0, F.transform(F.sequence(F.lit(0), at(F.col("length"))), touching)))
+    close = lambda x: F.slice("near", at(x["start"]) + 1, at(x["end"] - 1) - at(x["start"]) + 1)
+    apart = lambda x: F.col("near").isNull() | ~F.exists(close(x), lambda ys: F.exists(ys, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
     tokens = bind(other_tokens(text), lambda t: F.transform(F.filter(t, lambda x: (x["end"] > x["start"]) & apart(x)), _of_kind(-1)))
-    rows = rows.select("doc_id", "text", "spans", F.when(text.rlike("[0-9@]"), tokens).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int,s:string>>")).alias("tokens"))
-    before = lambda x: F.substr(text, F.greatest(x["start"] - REACH, F.lit(0)) + 1, F.least(x["start"], F.lit(REACH)))
-    after = lambda x: F.substr(text, x["end"] + 1, F.lit(REACH))
+    rows = rows.select("doc_id", "text", "length", "spans", F.when(text.rlike("[0-9@]"), tokens).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int,s:string>>")).alias("tokens"))
+    # looked up in blocks, as each part of a long text is counted from its start; a blank stands for the text's edge, so that a
+    # word counts only where both of its ends are seen
+    rows = rows.withColumn("blocks", F.transform(F.sequence(F.lit(0), F.floor(F.col("length") / _BLOCK).cast("int")), lambda i: F.substr(text, i * _BLOCK + 1, F.lit(_BLOCK))))
+    block = lambda at, more: F.coalesce(F.get("blocks", F.floor(at / _BLOCK).cast("int") + more), F.lit(""))
+    inside = lambda at: (at % _BLOCK).cast("int")
+    edge = lambda reached: F.when(reached, F.lit(" ")).otherwise(F.lit(""))
+    before = lambda x: F.concat(edge(x["start"] <= REACH), F.right(F.concat(block(x["start"], -1), F.left(block(x["start"], 0), inside(x["start"]))), F.lit(REACH)))
+    after = lambda x: F.concat(F.substr(F.concat(block(x["end"], 0), block(x["end"], 1)), inside(x["end"]) + 1, F.lit(REACH)), edge(F.col("length") <= x["end"] + REACH))
     context = lambda x: F.struct(
         x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lower(x["s"]).alias("instance"), F.lower(before(x)).alias("before"), F.lower(after(x)).alias("after")
     )
@@ -120,29 +157,36 @@ def scan(documents: DataFrame) -> DataFrame:
 
 def _patterns(before: Column, after: Column) -> Column:
     """The lexical patterns of a context: two words before, the word before, and the words on both sides."""
-    left2 = F.regexp_extract(before, r"(?:^|\s)(\S+\s+\S+)\s*$", 1)
-    left1 = F.regexp_extract(before, r"(\S+)\s*$", 1)
-    right1 = F.regexp_extract(after, r"^\s*(\S+)(?:\s|$)", 1)
+    left2 = F.regexp_extract(before, r"\s(\S+\s+\S+)\s*$", 1)
+    left1 = F.regexp_extract(before, r"\s(\S+)\s*$", 1)
+    right1 = F.regexp_extract(after, r"^\s*(\S+)\s", 1)
     some = lambda name, value, *need: F.when(F.concat(*need) != "", F.concat(F.lit(name), value))
-    return F.array_compact(F.array(some("2:", left2, left2), some("1:", left1, left1), F.when((left1 != "") & (right1 != ""), F.concat(F.lit("c:"), left1, F.lit(" _ "), right1))))
+    return F.array_compact(F.array(some("2:", F.regexp_replace(left2, r"\s+", " "), left2), some("1:", left1, left1), F.when((left1 != "") & (right1 != ""), F.concat(F.lit("c:"), left1, F.lit(" _ "), right1))))
 
 
 def confident_patterns(seen: DataFrame) -> DataFrame:
-    """(pattern, kind, score) of the patterns that are trusted, from occurrences (kind or -1, instance, pattern)."""
-    n = len(KINDS)
-    edges = seen.groupBy("pattern", "instance").agg(*[F.max((F.col("kind") == k).cast("double")).alias(f"e{k}") for k in range(n)])
-    enough = edges.groupBy("pattern").agg(*[F.sum(f"e{k}").alias(f"c{k}") for k in range(n)], F.count(F.lit(1)).alias("size")).where(F.greatest(*[F.col(f"c{k}") for k in range(n)]) >= MIN_SEEDS)
-    edges = materialise(edges.join(enough.select("pattern"), "pattern"), "pii-edges")
-    seeds = edges.groupBy("instance").agg(*[F.max(f"e{k}").alias(f"i{k}") for k in range(n)])
-    scores = seeds
-    mean = lambda df, by, of, to: df.groupBy(by).agg(*[F.avg(f"{of}{k}").alias(f"{to}{k}") for k in range(n)], F.count(F.lit(1)).alias("size"))
-    patterns = None
+    """(pattern, kind, score) of the patterns that are trusted in the end, from occurrences (kind or -1, instance, pattern)."""
+    kinds = range(len(KINDS))
+    edges = seen.groupBy("pattern", "instance").agg(*[F.max((F.col("kind") == k).cast("double")).alias(f"e{k}") for k in kinds])
+    # a seed anywhere is a seed for all its patterns
+    seeds = edges.groupBy("instance").agg(*[F.max(f"e{k}").alias(f"i{k}") for k in kinds]).where(F.greatest(*[f"i{k}" for k in kinds]) > 0)
+    often = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= MIN_SEEDS)
+    edges = materialise(edges.select("pattern", "instance").join(small(often, MAX_BROADCAST), "pattern"), "pii-edges")
+    seeds = materialise(seeds, "pii-seeds")
+    accepted, before, trusted = seeds, 0, None
     for _ in range(TURNS):
-        patterns = mean(edges.select("pattern", "instance").join(scores, "instance"), "pattern", "i", "p")
-        again = mean(edges.select("pattern", "instance").join(patterns.drop("size"), "pattern"), "instance", "p", "q").drop("size")
-        scores = seeds.join(again, "instance").select("instance", *[F.greatest(f"i{k}", f"q{k}").alias(f"i{k}") for k in range(n)])
-    best = patterns.select("pattern", "size", F.array_max(F.array(*[F.struct(F.col(f"p{k}").alias("score"), F.lit(k).alias("kind")) for k in range(n)])).alias("best"))
-    return best.where((F.col("best.score") >= MIN_SCORE) & (F.col("size") >= MIN_SEEDS)).select("pattern", F.col("best.kind").alias("kind"), F.col("best.score").alias("score"))
+        supported = edges.join(small(accepted, MAX_BROADCAST), "instance").groupBy("pattern").agg(F.max("size").alias("size"), *[F.sum(f"i{k}").alias(f"s{k}") for k in kinds], *[F.count_if(F.col(f"i{k}") > 0).alias(f"c{k}") for k in kinds])
+        scores = [F.when(F.col(f"c{k}") >= MIN_SEEDS, F.struct((F.col(f"s{k}") / F.col("size")).alias("score"), F.lit(k).alias("kind"))) for k in kinds]
+        trusted = supported.select("pattern", F.array_max(F.array_compact(F.array(*scores))).alias("best")).where(F.col("best.score") >= MIN_SCORE)
+        trusted = materialise(trusted.select("pattern", F.col("best.kind").alias("kind"), F.col("best.score").alias("score")), "pii-trusted")
+        found = edges.join(small(trusted, MAX_BROADCAST), "pattern").join(small(seeds, MAX_BROADCAST).select("instance"), "instance", "left_anti")
+        found = found.groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("best"), F.avg("score").alias("mean"))
+        found = materialise(found.select("instance", *[F.when(F.col("best.kind") == k, F.col("mean")).otherwise(0.0).alias(f"i{k}") for k in kinds]), "pii-found")
+        size = found.count()
+        if size <= before:
+            break
+        accepted, before = seeds.unionByName(found), size
+    return trusted
 
 
 def find(documents: DataFrame) -> DataFrame:
@@ -152,7 +196,7 @@ def find(documents: DataFrame) -> DataFrame:
     seen = seen.select("doc_id", "text_hash", "kind", "start", "end", "instance", F.explode(_patterns(F.col("before"), F.col("after"))).alias("pattern"))
     seen = materialise(seen, "pii-occurrences")
     trusted = confident_patterns(seen.select("kind", "instance", "pattern"))
-    new = seen.where("kind = -1").drop("kind").join(trusted, "pattern").groupBy("doc_id", "text_hash", "start", "end").agg(F.max(F.struct("score", "kind")).alias("best"))
+    new = seen.where("kind = -1").drop("kind").join(small(trusted, MAX_BROADCAST), "pattern").groupBy("doc_id", "text_hash", "start", "end").agg(F.max(F.struct("score", "kind")).alias("best"))
     added = new.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct(F.col("best.kind").alias("kind"), "start", "end")).alias("added"))
     same = F.col("r.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("r.text_hash") == F.col("a.text_hash"))
     joined = rows.select("doc_id", "text_hash", "spans").alias("r").join(added.alias("a"), same, "left")
@@ -164,8 +208,12 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", name(x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data of all documents: counts and digest of the base spans, and all spans."""
-    found = find(table(spark, sf_dir, "documents"))
+def digest(found: DataFrame) -> DataFrame:
+    """Counts and digest of the base spans, and all spans as text, from what find gives."""
     counts = [_count_of(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.concat("base", "added")).alias("spans"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents: counts and digest of the base spans, and all spans."""
+    return digest(find(table(spark, sf_dir, "documents")))
