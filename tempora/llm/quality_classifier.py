@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
 A document is the average of learned vectors of its hashed features, in three groups of equal weight: words,
-pairs of neighbouring words, and byte trigrams across the raw text (case kept).  A pair is hashed by the
+pairs of neighbouring words, and character trigrams of words with their edges (case kept).  A pair is hashed by the
 difference of its words' hashes, so that all pairs of equal words share one feature.  A softmax layer over two
 classes gives the score.  The vectors and the layer are trained on the driver by plain numpy stochastic
 gradient descent on a bounded sample of labelled rows (`max_rows`); scoring is a map over Arrow batches with the
@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from tempora.llm.common import one_label, remainder, small_batches, table, text_or_empty
+from tempora.llm.common import append_columns, free_name, one_label, remainder, small_batches, table, text_or_empty
 from tempora.llm.hashing import _BASE, WHITESPACE, blocks, mix, string_buffers, word_hashes
 
 
@@ -50,6 +51,27 @@ def _group(rows: np.ndarray, keys: np.ndarray, n_rows: int, group: int, bits: in
     return row, (code & (size - 1)) + group * size, (counts / (3.0 * total[row])).astype(np.float32)
 
 
+_FACTORS = mix(np.arange(1, 4, dtype=np.uint64) * _BASE) | np.uint64(1)
+
+
+def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the character trigrams of a block's words; a blank stands for each end of a word within its text."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    first = (data & 0xC0) != 0x80  # bytes that begin a character
+    first[offsets[:-1][offsets[:-1] < len(data)]] = True
+    at = np.flatnonzero(first)
+    length = np.diff(np.append(at, len(data)))
+    character = np.where(WHITESPACE[data[at]], np.uint8(32), data[at]).astype(np.uint64)
+    for k in range(1, 4):
+        more = np.flatnonzero(length > k)
+        character[more] |= data[at[more] + k].astype(np.uint64) << np.uint64(8 * k)
+    row = np.searchsorted(offsets, at, side="right") - 1
+    inside = (row[2:] == row[:-2]) & (character[1:-1] != 32)
+    hashed = mix((character[:-2] * _FACTORS[0] + character[1:-1] * _FACTORS[1] + character[2:] * _FACTORS[2])[inside])
+    return row[2:][inside], hashed
+
+
 def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, bucket, weight) of a block of texts, sorted by row."""
     n_rows = len(offsets) - 1
@@ -58,12 +80,7 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
     same = rows[1:] == rows[:-1] if len(rows) else np.zeros(0, bool)
     pairs = mix((words[1:] - words[:-1])[same]) if len(words) else words
     parts = [_group(rows, words, n_rows, 0, bits), _group(rows[1:][same], pairs, n_rows, 1, bits)]
-    text = np.where(WHITESPACE[data], np.uint8(32), data).astype(np.uint64)
-    row = np.repeat(np.arange(n_rows), np.diff(offsets))
-    if len(text) > 2:
-        inside = row[2:] == row[:-2]
-        grams = mix((((text[:-2] << np.uint64(16)) | (text[1:-1] << np.uint64(8)) | text[2:])[inside] + np.uint64(1)) * _BASE)
-        parts.append(_group(row[2:][inside], grams, n_rows, 2, bits))
+    parts.append(_group(*trigrams(data, offsets), n_rows, 2, bits))
     row, bucket, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(row, kind="stable")
     return row[order], bucket[order], weight[order]
@@ -152,7 +169,15 @@ def _sample(documents: DataFrame, labels: DataFrame, p: Params) -> list[tuple[np
 def fit(documents: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
     """Train on documents (doc_id, text) with a row in labels (doc_id, label 0 or 1), a bounded sample of them."""
     small_batches(documents.sparkSession)
-    return train(_sample(documents, labels, params), params)
+    samples = _sample(documents, labels, params)
+    model = train(samples, params)
+    # the sample has as many rows of each class as there are, up to half of it; the bias takes the classes' shares of all labelled
+    # rows, so that a score means the same whatever the input's size
+    n = labels.agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1")).first()
+    drawn = sum(y for _, _, y in samples)
+    if 0 < drawn < len(samples):
+        model.bias[1] += np.log(n["n1"] / n["n0"]) - np.log(drawn / (len(samples) - drawn))
+    return model
 
 
 def score_block(data: np.ndarray, offsets: np.ndarray, slope: np.ndarray, shift: float, bits: int) -> np.ndarray:
@@ -170,30 +195,25 @@ def score_block(data: np.ndarray, offsets: np.ndarray, slope: np.ndarray, shift:
         same = rows[1:] == rows[:-1]
         add(rows, words, 0)
         add(rows[1:][same], mix((words[1:] - words[:-1])[same]), 1)
-    if len(data) > 2:
-        text = np.where(WHITESPACE[data], np.uint8(32), data).astype(np.uint64)
-        row = np.repeat(np.arange(n_rows), np.diff(offsets))
-        inside = row[2:] == row[:-2]
-        grams = mix((((text[:-2] << np.uint64(16)) | (text[1:-1] << np.uint64(8)) | text[2:])[inside] + np.uint64(1)) * _BASE)
-        add(row[2:][inside], grams, 2)
+    add(*trigrams(data, offsets), 2)
     return 1.0 / (1.0 + np.exp(-np.clip(margin, -40, 40)))
 
 
-def score(documents: DataFrame, model: Model) -> DataFrame:
-    """(all columns of documents, score): the probability of label 1 of each row's whole text."""
+def score(documents: DataFrame, model: Model, to: str = "score") -> DataFrame:
+    """(all columns of documents, `to`): the probability of label 1 of each row's whole text; `to` must not be a column yet."""
+    if free_name(documents, to) != to:
+        raise ValueError(f"documents have a column {to} already")
+    at = documents.columns.index("text")
     slope = (model.vectors @ (model.layer[:, 1] - model.layer[:, 0])).astype(np.float64)
     shift, bits = float(model.bias[1] - model.bias[0]), model.bits
     shared = documents.sparkSession.sparkContext.broadcast(slope)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = string_buffers(batch.column("__text"))
-            parts = [score_block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shared.value, shift, bits) for i, j in blocks(offsets)]
-            columns = [batch.column(k) for k in range(batch.num_columns - 1)] + [pa.array(np.concatenate(parts) if parts else np.zeros(0))]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "__score"])
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        data, offsets = string_buffers(batch.column(at))  # null is empty there
+        parts = [score_block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shared.value, shift, bits) for i, j in blocks(offsets)]
+        return [pa.array(np.concatenate(parts) if parts else np.zeros(0))]
 
-    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in documents.schema)
-    return documents.withColumn("__text", text_or_empty("text")).mapInArrow(run, f"{fields}, `__score` double")
+    return append_columns(documents, run, {to: DoubleType()})
 
 
 def _training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,11 +225,12 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = Params()
     documents = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = score(documents.select("doc_id", "text"), fit(documents, _training_labels(spark, sf_dir), params))
-    return scored.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= params.threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= params.threshold).cast("int").alias("predicted"))
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: keep the rows of docs that the classifier, fitted on the labelled rows of docs, accepts."""
     params = Params()
     model = fit(docs, _training_labels(spark, sf_dir), params)
-    return score(docs, model).where(F.col("__score") >= params.threshold).drop("__score")
+    name = free_name(docs, "score")
+    return score(docs, model, name).where(F.col(name) >= params.threshold).drop(name)
