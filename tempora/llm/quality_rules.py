@@ -5,7 +5,7 @@ are bound by a one-element transform, so that each is made once a row.  Repeated
 hashes of their words, sorted with their places.
 
 Cases: null text is the empty text: all counts are 0 and the base fails; repeated rows get equal results; very long
-texts are sorted in one row's memory, n log n; other columns, whatever their names, pass by unread.
+texts are sorted in one row's memory, n log n; an empty table gives an empty result; other columns, whatever their names, pass by unread.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from tempora.llm.common import table, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
 WHITESPACE = " \t\n\x0b\x0c\r"
-#: Frequent words of four languages.
+#: Frequent words of four languages, in lower case as running text has them; a text of another language has none of them and
+#: fails `stop_words`, so the table is for corpora of these four.
 STOP_WORDS = "the of and to a in is that for it as was with be by on not this are or from at un une le la les de des et en que qui el los del se con por para una der die das und den von zu mit sich ein eine ist".split()
 
 
@@ -104,7 +105,7 @@ def measures(documents: DataFrame) -> DataFrame:
                 lambda h: F.struct(
                     F.size(h).cast("long").alias("n"),
                     repeated_words(h).alias("repeat"),
-                    F.size(F.filter(h, lambda x: x.isin([]) if not STOP_WORDS else F.array_contains(stop, x))).alias("stop"),
+                    F.size(F.filter(h, lambda x: F.array_contains(stop, x))).alias("stop"),
                     F.size(F.filter(w, lambda x: F.endswith(x, F.lit("!")))).alias("bang"),
                 ),
             ),
@@ -148,3 +149,21 @@ def judge(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdicts of all documents."""
     return judge(table(spark, sf_dir, "documents"))
+
+
+def oracle() -> str:
+    """The same rows by exact comparison of words, windows and lines."""
+    bounds = " AND ".join(x for rule in RULES for x in ([f"{rule.value} >= {rule.least}"] if rule.least is not None else []) + ([f"{rule.value} <= {rule.most}"] if rule.most is not None else []))
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT r, unnest(range(1, len(w) - 3)) AS p, unnest(list_transform(range(1, len(w) - 3), lambda p: w[p : p + 4])) AS g FROM s WHERE len(w) >= 5),
+h AS (SELECT r, unnest(range(p, p + 5)) AS q FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
+k AS (SELECT r, count(DISTINCT q) AS n FROM h GROUP BY r),
+m AS (SELECT doc_id, len(w) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(k.n, 0) AS n_repeat_words, len(l) AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper,
+  len(list_filter(w, lambda x: list_contains([{stop}], x))) AS n_stop, len(list_filter(w, lambda x: x[-1] = '!')) AS n_bang FROM s LEFT JOIN k USING (r)),
+v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce(word_chars / nullif(n_words, 0), 0) AS mean_word_chars, coalesce(n_symbols / nullif(n_words, 0), 0) AS symbols_per_word,
+  coalesce(n_bang / nullif(n_words, 0), 0) AS bang_words, coalesce(n_stop / nullif(n_words, 0), 0) AS stop_words, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_lines, coalesce(n_upper / nullif(word_chars, 0), 0) AS upper_chars FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {bounds} AS kept FROM v"""

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_quality_rules": quality_rules.oracle(),
     "op5_url_filters": url_filters.oracle(),
     "op6_jaccard_join": jaccard_join.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
