@@ -15,13 +15,15 @@ import base64
 import hashlib
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from tempora.llm.common import small_batches, table, text_or_empty
+from tempora.llm.common import append_columns, small_batches, table, text_or_empty
 
 #: Matches kept by a worker before its cache is emptied.
 CACHE = 50_000
@@ -145,52 +147,60 @@ def vocabulary(path: str | None = None, pattern: str | None = None) -> tuple[lis
     return ranks, serialise(ranks), pattern or public_tokenizers.PATTERN
 
 
-def _schema(df: DataFrame) -> str:
-    return ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema)
+_codecs: dict[tuple, Codec] = {}
+
+
+def _codec(ranks: list[bytes], model: bytes, pattern: str) -> Codec:
+    """The codec of this worker process, made for its first task."""
+    key = (len(ranks), zlib.crc32(model), pattern)
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(ranks, model, pattern)
+    return _codecs[key]
+
+
+IDS = ArrayType(IntegerType())
 
 
 def encode(documents: DataFrame, path: str | None = None, column: str = "text", to: str = "token_ids") -> DataFrame:
     """documents with the ids of a text column, array<int>; a column named `to` is replaced."""
     documents = documents.drop(to)
+    at = documents.columns.index(column)
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary(path))  # a vocabulary file's size
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*shared.value)
-        for batch in batches:
-            ids = pa.array([codec.encode(x or "") for x in batch.column(column).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, to])
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        codec = _codec(*shared.value)
+        return [pa.array([codec.encode(x or "") for x in batch.column(at).to_pylist()], pa.list_(pa.int32()))]
 
-    return documents.mapInArrow(run, f"{_schema(documents)}, `{to}` array<int>")
+    return append_columns(documents, run, {to: IDS})
 
 
 def decode(tokens: DataFrame, path: str | None = None, column: str = "token_ids", to: str = "decoded") -> DataFrame:
     """tokens with the text that an id column stands for; a null array is null; a column named `to` is replaced."""
     tokens = tokens.drop(to)
+    at = tokens.columns.index(column)
     shared = tokens.sparkSession.sparkContext.broadcast(vocabulary(path))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
         pieces = shared.value[0]
-        for batch in batches:
-            texts = pa.array([None if ids is None else b"".join([pieces[i] for i in ids]).decode("utf-8", "replace") for ids in batch.column(column).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, to])
+        return [pa.array([None if ids is None else b"".join([pieces[i] for i in ids]).decode("utf-8", "replace") for ids in batch.column(at).to_pylist()], pa.string())]
 
-    return tokens.mapInArrow(run, f"{_schema(tokens)}, `{to}` string")
+    return append_columns(tokens, run, {to: StringType()})
 
 
 def round_trip(documents: DataFrame, path: str | None = None, column: str = "text") -> DataFrame:
     """documents with token_ids and the text decoded from them, by one worker a task; columns of these names are replaced."""
     documents = documents.drop("token_ids", "decoded")
+    at = documents.columns.index(column)
     small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary(path))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*shared.value)
-        for batch in batches:
-            ids = [codec.encode(x or "") for x in batch.column(column).to_pylist()]
-            texts = pa.array([codec.decode(x).decode("utf-8", "replace") for x in ids], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), texts], [*batch.schema.names, "token_ids", "decoded"])
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        codec = _codec(*shared.value)
+        ids = [codec.encode(x or "") for x in batch.column(at).to_pylist()]
+        return [pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(x).decode("utf-8", "replace") for x in ids], pa.string())]
 
-    return documents.mapInArrow(run, f"{_schema(documents)}, `token_ids` array<int>, `decoded` string")
+    return append_columns(documents, run, {"token_ids": IDS, "decoded": StringType()})
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +209,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(vocabulary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*shared.value)
+        codec = _codec(*shared.value)
         for batch in batches:
             found = [codec.digest(x) for x in batch.column("text").to_pylist()]
             n, ids, decoded = zip(*found, strict=True) if found else ((), (), ())

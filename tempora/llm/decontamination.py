@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.common import materialise, table, text_or_empty
+from tempora.llm.common import free_name, materialise, table, text_or_empty
 from tempora.llm.quality_rules import bind
 
 SPAN, K = 13, 5
@@ -160,11 +160,12 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """documents without the rows that are contaminated."""
-    bad = contamination(documents, benchmark).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    of, digest = free_name(documents, "id"), free_name(documents, "hash")
+    bad = contamination(documents, benchmark).where("contaminated").select(F.col("doc_id").alias(of), F.col("text_hash").alias(digest))
     bad = materialise(bad, "contaminated")
     if bad.limit(MAX_DROPPED + 1).count() <= MAX_DROPPED:
         bad = F.broadcast(bad)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_or_empty("text")) == F.col("__hash"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.xxhash64(text_or_empty("text")) == F.col(digest))
     return documents.join(bad, same, "left_anti")
 
 

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.common import free_name, materialise, small_batches, table, text_or_empty
+from tempora.llm.common import free_name, materialise, small, small_batches, table, text_or_empty
 from tempora.llm.components import connected_components
 from tempora.llm.hashing import _BASE, blocks, mix, shingle_hashes, string_buffers, word_hashes
 
@@ -67,7 +67,7 @@ class Params:
 
 def _small(df: DataFrame) -> DataFrame:
     """df, marked for a broadcast where it has few rows."""
-    return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
+    return small(df, MAX_BROADCAST)
 
 
 def _shingles(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

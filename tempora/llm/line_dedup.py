@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.common import materialise, table, text_or_empty
+from tempora.llm.common import free_name, materialise, quoted, table, text_or_empty
 from tempora.llm.quality_rules import bind
 
 #: Share of a host's pages above which a line is boilerplate, and the least number of pages that carry it.  A template
@@ -45,21 +45,22 @@ def boilerplate(documents: DataFrame, ratio: float = RATIO, least_pages: int = L
 
 def drop_boilerplate(documents: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """documents with the boilerplate lines taken out of text."""
-    bad = boilerplate(documents, ratio, least_pages).withColumnsRenamed({"host": "__host", "bad": "__bad"})
+    of, lines_of, salt = (free_name(documents, x) for x in ("host", "bad", "salt"))
+    bad = boilerplate(documents, ratio, least_pages).withColumnsRenamed({"host": of, "bad": lines_of})
     host = F.xxhash64(F.coalesce(F.col("source"), F.lit("\x00")))
-    size = bad.agg(F.sum(F.size("__bad")).alias("n")).first()["n"] or 0
+    size = bad.agg(F.sum(F.size(lines_of)).alias("n")).first()["n"] or 0
     if size <= MAX_BROADCAST:
-        joined = documents.join(F.broadcast(bad), host == F.col("__host"), "left")
+        joined = documents.join(F.broadcast(bad), host == F.col(of), "left")
     else:
-        salted = bad.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = documents.join(salted, (host == F.col("__host")) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)) == F.col("__salt")), "left")
+        salted = bad.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = documents.join(salted, (host == F.col(of)) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)) == F.col(salt)), "left")
 
     def strip(lines: Column) -> Column:
-        found = F.array_intersect(F.transform(lines, lambda x: F.xxhash64(x)), F.col("__bad"))
+        found = F.array_intersect(F.transform(lines, lambda x: F.xxhash64(x)), F.col(lines_of))
         return bind(found, lambda b: F.when(F.size(b) == 0, F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(b, F.xxhash64(x))), "\n")))
 
-    text = F.when(F.col("text").isNull() | F.col("__bad").isNull(), F.col("text")).otherwise(bind(_lines(F.col("text")), strip))
-    return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in documents.columns])
+    text = F.when(F.col("text").isNull() | F.col(lines_of).isNull(), F.col("text")).otherwise(bind(_lines(F.col("text")), strip))
+    return joined.select(*[text.alias(c) if c == "text" else quoted(c) for c in documents.columns])
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

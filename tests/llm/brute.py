@@ -158,3 +158,100 @@ def kneser_ney(rows: list[tuple[str, int]], d: float, d_pair: float):
         return [math.log(p(v, w, 1) / p(v, w, 0)) for v, w in zip([None, *ws], ws, strict=False)]
 
     return ratios
+
+
+def ring_home(points: list[tuple[int, int]], cell: int) -> int:
+    """The shard of the first point at or after a cell, clockwise; of points in one cell the least shard."""
+    ahead = [(c, s) for s, c in points if c >= cell] or [(c, s) for s, c in points]
+    return min(ahead)[1]
+
+
+def ring_homes(points: list[tuple[int, int]], cells: list[int], shards: int) -> list[int]:
+    """How many keys are at home with each shard."""
+    homes = Counter(ring_home(points, c) for c in cells)
+    return [homes[s] for s in range(shards)]
+
+
+def ring_loads(points: list[tuple[int, int]], cells: list[int], shards: int) -> tuple[list[int], list[int]]:
+    """(loads, homes): keys walk the ring one by one, clockwise from their cell, to the first shard with room."""
+    room = [len(cells) // shards + (s < len(cells) % shards) for s in range(shards)]
+    arcs = sorted({c: min(s for s, x in points if x == c) for _, c in points}.items())
+    load, over = [0] * shards, []
+    for cell in sorted(cells):
+        home = ring_home(points, cell)
+        if load[home] < room[home]:
+            load[home] += 1
+        else:
+            over.append(cell)
+    for cell in over:
+        at = next((k for k, (c, _) in enumerate(arcs) if c >= cell), 0)
+        shard = next((arcs[(at + step) % len(arcs)][1] for step in range(len(arcs)) if load[arcs[(at + step) % len(arcs)][1]] < room[arcs[(at + step) % len(arcs)][1]]), None)
+        shard = shard if shard is not None else next(s for s in range(shards) if load[s] < room[s])
+        load[shard] += 1
+    return load, ring_homes(points, cells, shards)
+
+
+def quality_verdict(text: str, rules, stop_words: list[str]) -> bool:
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    counts = quality_counts(text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n = len(words)
+    values = {
+        "mean_word_chars": counts["word_chars"] / n if n else 0,
+        "symbols_per_word": counts["n_symbols"] / n if n else 0,
+        "bang_words": sum(w.endswith("!") for w in words) / n if n else 0,
+        "stop_words": sum(w in stop_words for w in words) / n if n else 0,
+        "dup_lines": counts["n_dup_lines"] / len(lines) if lines else 0,
+        "upper_chars": len(re.findall("[A-Z]", text)) / counts["word_chars"] if counts["word_chars"] else 0,
+    }
+    return all((r.least is None or values[r.value] >= r.least) and (r.most is None or values[r.value] <= r.most) for r in rules)
+
+
+def bootstrapped(texts: dict, min_seeds: int, min_score: float, reach: int) -> dict[object, list[tuple[int, int, int]]]:
+    """The spans that contextual bootstrapping adds to the base ones of each text."""
+    import regex
+
+    seen, candidates = {}, {}
+    for i, text in texts.items():
+        base = personal_spans(text)
+        token = r"(?<![0-9A-Za-z(])\(?[0-9]++\)?(?:[ ./-]{1,2}\(?[0-9]++\)?)++|(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+        spans = [(k, a, b) for k, a, b in base]
+        for m in regex.finditer(token, text):
+            if len(re.findall("[0-9]", m[0])) < 4 and not re.search("[^@]@[^@]", m[0]):
+                continue
+            lead = 0 if re.match(r"\([0-9]+\)", m[0]) else len(regex.match(r"[^\p{L}\p{N}+]*", m[0])[0])
+            end = m.start() + len(regex.sub(r"[^\p{L}\p{N}]+$", "", m[0]))
+            start = m.start() + lead
+            if end > start and not any(a < end and start < b for _, a, b in base):
+                spans.append((-1, start, end))
+        for k, a, b in spans:
+            left = re.split(r"[ \t\n\x0b\x0c\r]+", (" " if a <= reach else "") + text[max(a - reach, 0) : a])
+            right = re.match(r"[ \t\n\x0b\x0c\r]*([^ \t\n\x0b\x0c\r]+)[ \t\n\x0b\x0c\r]", (text[b : b + reach] + (" " if len(text) <= b + reach else "")).lower())
+            left = [w.lower() for w in left[1:] if w]
+            patterns = ([f"2:{left[-2]} {left[-1]}"] if len(left) > 1 else []) + ([f"1:{left[-1]}"] if left else []) + ([f"c:{left[-1]} _ {right[1]}"] if left and right else [])
+            candidates.setdefault(i, []).append((k, a, b, patterns))
+            for p in patterns:
+                seen.setdefault(p, {}).setdefault(text[a:b].lower(), set()).add(k)
+    seeds: dict[str, set[int]] = {}
+    for instances in seen.values():
+        for s, kinds in instances.items():
+            seeds.setdefault(s, set()).update(kinds - {-1})
+    scores = {s: {k: 1.0 for k in kinds} for s, kinds in seeds.items() if kinds}
+    accepted, size, trusted = dict(scores), 0, {}
+    while True:
+        trusted = {}
+        for p, instances in seen.items():
+            for k in range(4):
+                support = [accepted[s][k] for s in instances if accepted.get(s, {}).get(k)]
+                if len(support) >= min_seeds and sum(support) / len(instances) >= min_score:
+                    trusted[p] = max(trusted.get(p, (0, 0)), (sum(support) / len(instances), k))
+        found = {}
+        for p, (score, k) in trusted.items():
+            for s in seen[p]:
+                if s not in scores:
+                    found.setdefault(s, []).append((score, k))
+        if len(found) <= size:
+            break
+        size = len(found)
+        accepted = scores | {s: {max(x)[1]: sum(y for y, _ in x) / len(x)} for s, x in found.items()}
+    return {i: [(max(trusted[p] for p in ps if p in trusted)[1], a, b) for k, a, b, ps in candidates.get(i, []) if k == -1 and any(p in trusted for p in ps)] for i in texts}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -56,6 +57,23 @@ def test_sharding(odd):
     assert {r["doc_id"]: r["size"] for r in rows}[1] == 1
 
 
+def test_sharding_is_the_bounded_ring(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANKED", 5)
+    df = documents(spark, [(k % 400, f"t{k % 450}") for k in range(900)] + [(None, f"n{k}") for k in range(300)])
+    points = spark.range(7 * 8).select((F.col("id") % 7).cast("int").alias("shard"), (F.col("id") / 7).cast("int").alias("copy"))
+    points = [(r["shard"], r["cell"]) for r in points.select("shard", F.pmod(F.xxhash64("shard", "copy"), F.lit(sharding.CELLS)).alias("cell")).collect()]
+    keys = df.select("doc_id", F.crc32("text").alias("crc"), F.pmod(F.xxhash64("doc_id"), F.lit(sharding.CELLS)).alias("cell")).collect()
+    got = sharding.assign(df, 7, 8).collect()
+    loads = [sum(r["shard"] == s for r in got) for s in range(7)]
+    assert brute.ring_loads(points, [r["cell"] for r in keys], 7) == (loads, brute.ring_homes(points, [r["cell"] for r in keys], 7))
+    homes = {r["cell"]: brute.ring_home(points, r["cell"]) for r in keys}
+    cell_of = {r["doc_id"]: r["cell"] for r in keys}
+    room = [(1200 // 7) + (s < 1200 % 7) for s in range(7)]
+    wanted = brute.ring_homes(points, [r["cell"] for r in keys], 7)
+    for shard in range(7):  # as many of a shard's own keys as it has room for are at home
+        assert sum(r["shard"] == shard == homes[cell_of[r["doc_id"]]] for r in got) == min(room[shard], wanted[shard])
+
+
 def test_sharding_moves_few(spark):
     df = documents(spark, [(k, f"t{k}") for k in range(4000)])
     one = {r["doc_id"]: r["shard"] for r in sharding.assign(df, 16).collect()}
@@ -91,6 +109,33 @@ def test_personal_data_finds_unseen_identifiers_by_context(spark):
     assert [(x["kind"], x["start"]) for x in found[99]] == [(3, 20)] and not found[98] and not found[0]
 
 
+#: One hop: hotline numbers without a plus.  Two hops: what follows `extension` is only known by numbers that hop one finds.
+PERSONAL = (
+    [(500 + k, f"please dial hotline {'+1 (555) 555-0%03d' % k} before noon") for k in range(150)]
+    + [(100 + k, f"please dial hotline (555) 867-5{300 + k} before noon") for k in range(10)]
+    + [(200 + k, f"the extension (555) 867-5{300 + k} rang twice") for k in range(10)]
+    + [(300, "the extension 70-1234-99 rang twice"), (301, "the extension 70-1234-99 rang twice"), (98, "the year 20245 was fine"), (99, f"please dial hotline {'x' * 400}1234 {'y' * 400} before noon"), (97, None), (96, "")]
+)
+
+
+def test_personal_data_bootstraps_until_nothing_is_new(spark):
+    df = documents(spark, PERSONAL + PERSONAL[:3] + ODD, True)
+    got = {r["doc_id"]: r for r in pii.digest(pii.find(df)).collect()}
+    want = brute.bootstrapped({i: t or "" for i, t in PERSONAL + ODD}, pii.MIN_SEEDS, pii.MIN_SCORE, pii.REACH)
+    for i, text in PERSONAL + ODD:
+        base = brute.personal_spans(text or "")
+        assert [got[i][f"n_{k}"] for k in brute.KINDS] == [sum(x[0] == j for x in base) for j in range(4)]
+        assert got[i]["base_sha256"] == brute.sha(brute.span_text(base))
+        assert got[i]["spans"] == brute.span_text(base + want[i]), i
+    assert got[100]["spans"] == "phone:20:34" and got[300]["spans"] == got[301]["spans"] == "phone:14:24" and not got[98]["spans"]
+
+
+def test_personal_data_in_a_very_long_text(spark):
+    text = " ".join(f"word{k} a{k}@b{k}.com é" for k in range(3000))
+    row = pii.find(documents(spark, [(1, text)])).first()
+    assert [(x["kind"], x["start"], x["end"]) for x in row["base"]] == brute.personal_spans(text)
+
+
 def test_decontamination(odd, benchmark):
     want = {i: x for (i, _), x in zip(ODD, brute.contamination([t for _, t in ODD], [(r["item_id"], r["text"]) for r in benchmark.collect() if r["item_id"] is not None]), strict=True)}
     rows = decontamination.contamination(odd, benchmark).collect()
@@ -323,8 +368,9 @@ def test_toxicity_beyond_broadcast(spark, odd, monkeypatch):
 def test_quality_held_out(spark):
     df, labels = labelled_rows(spark, "good!")
     model = quality_classifier.fit(df, labels.where("doc_id < 180"), quality_classifier.Params(epochs=12))
+    df = df.drop("score")
     scored = quality_classifier.score(df, model)
-    scores = {r["doc_id"]: r["__score"] for r in scored.collect()}
+    scores = {r["doc_id"]: r["score"] for r in scored.collect()}
     assert scored.columns[:-1] == df.columns
     assert np.mean([(scores[k] >= 0.5) == (k % 3 == 0) for k in range(180, 240)]) > 0.95
 
@@ -334,8 +380,8 @@ def test_classifiers_on_odd_rows(spark, odd):
     one = spark.createDataFrame([(6, 1), (8, 1)], "doc_id long, label int")
     for labels in (none, one):
         assert {round(r["score"], 6) for r in toxicity.score(odd, toxicity.fit(odd, labels)).collect()} == {0.5}
-        got = quality_classifier.score(odd, quality_classifier.fit(odd, labels)).collect()
-        assert len(got) == len(ODD) and all(0 <= r["__score"] <= 1 for r in got)
+        got = quality_classifier.score(odd.drop("score"), quality_classifier.fit(odd, labels)).collect()
+        assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
 
 
 def test_empty_tables(spark, benchmark):
@@ -374,3 +420,75 @@ def test_pipeline(spark, sf_dir):
 def test_unused_types_do_not_matter(spark):
     df = documents(spark, ODD).withColumn("when", F.lit(dt.datetime(2024, 1, 1))).withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
     assert quality_rules.judge(df).count() == jaccard_join.link(df).count() == len(ODD)
+
+
+@pytest.fixture(scope="module")
+def fixture_dir(spark, tmp_path_factory):
+    """Whole small tables for the queries: odd rows, personal data, labelled prose."""
+    folder = str(tmp_path_factory.mktemp("tables"))
+    rng = random.Random(9)
+    plain, bad = [f"tok{k}" for k in range(40)], ["idiot", "scum", "moron"]
+    prose = [(1000 + k, " ".join(rng.choice(bad if k % 3 == 0 and rng.random() < 0.2 else plain) for _ in range(50)) + (" good!" * 5 if k % 2 else "")) for k in range(300)]
+    rows = ODD + [(4000 + i, t) for i, t in PERSONAL] + prose + [(None, "no id at all"), (6, PASSAGE)]
+    documents(spark, rows, True).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, int(k % 2), int(k % 3 == 0)) for k, (i, _) in enumerate(prose)] + [(None, 1, 1), (6, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder, rows
+
+
+def test_queries_return_what_the_contract_says(spark, fixture_dir):
+    folder, rows = fixture_dir
+    crc = lambda i: zlib.crc32(str(i).encode())
+    run = lambda name: QUERIES[name](spark, folder).collect()
+
+    got = run("op1_sharding")
+    brute.bound_walk([(r["shard"], r["slot"]) for r in got], 16)
+    assert sorted((r["doc_id"] or -1, r["size"], r["text_crc32"]) for r in got) == sorted((i or -1, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert {(r["law"], r["grown_shard"]) for r in got} == {("rows", None)}
+
+    for name, divisor, fold, right in (("op2_toxicity", 3, 1, lambda k: k % 3 == 0), ("op8_quality_classifier", 4, 2, lambda k: k % 2 == 1)):
+        got = run(name)
+        assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got)
+        assert all(r["held_out"] == (r["doc_id"] is not None and crc(r["doc_id"]) % divisor == fold) for r in got)
+        held = [r for r in got if r["held_out"] and 1000 <= r["doc_id"] < 1300]
+        assert np.mean([r["predicted"] == right(r["doc_id"] - 1000) for r in held]) > 0.9
+
+    want = {i: (t or "") for i, t in rows}
+    for r in run("op3_quality_rules"):
+        counts = brute.quality_counts(want[r["doc_id"]])
+        assert {k: r[k] for k in counts} == counts and r["kept"] == (not r["base_failed"] and brute.quality_verdict(want[r["doc_id"]], quality_rules.RULES, quality_rules.STOP_WORDS))
+
+    found = brute.bootstrapped({k: t or "" for k, (_, t) in enumerate(rows)}, pii.MIN_SEEDS, pii.MIN_SCORE, pii.REACH)
+    spans = {i: brute.span_text(brute.personal_spans(t or "") + found[k]) for k, (i, t) in enumerate(rows)}
+    assert all(r["spans"] == spans[r["doc_id"]] for r in run("op4_pii"))
+
+    import public_tokenizers as P
+    import tiktoken
+
+    encoder = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={x: k for k, x in enumerate(byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")))}, special_tokens={})
+    for r in run("op10_byte_bpe"):
+        ids = encoder.encode_ordinary(want[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), brute.sha(",".join(map(str, ids))), brute.sha(want[r["doc_id"]]))
+
+
+#: Names that operators use, or could, and names that need quoting.
+CLASHES = ["text_", "id", "id_", "hash", "host", "bad", "salt", "gone", "Gone_", "score", "SCORE_", "__text", "__score", "__host", "__bad", "__id", "__hash", "__gone", "a`b", "a.b", "node", "region", "near", "blocks", "row number"]
+
+
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_stages_on_clashing_names(spark, sf_dir, kind):
+    df = documents(spark, ODD + [(6, PASSAGE), (None, "x y z"), (None, None)]).withColumn("n_chars", F.char_length("text").cast("long"))
+    df = df.select("*", *[F.lit(f"v{k}").alias(c) for k, c in enumerate(CLASHES)])
+    docs = common.materialise(df.limit(0) if kind == "empty" else df, "clashes")
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf_dir)
+        kept = out.columns[: len(docs.columns)]
+        assert kept == docs.columns and (number == len(corpus_pipeline.STAGES) - 1 or len(out.columns) == len(kept)), name
+        rows = out.collect()
+        assert len(rows) <= len(ODD) + 3 and (kind == "odd" or not rows)
+        assert all(r[c] == f"v{k}" for r in rows for k, c in enumerate(CLASHES))
+
+
+def test_pipeline_on_an_empty_table(spark, sf_dir, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
