@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,3 +61,36 @@ def trend_forecast(bars: DataFrame, steps: int = 7) -> DataFrame:
     base = bars.select("symbol", "bar_ts", "close", F.row_number().over(r.order()).alias("n"), (div(r.sma("close", 5), r.sma("close", 20)) - 1).alias("drift"))
     weekly = base.where((F.col("n") % 7 == 0) & F.col("drift").isNotNull())
     return weekly.select("symbol", "bar_ts", "close", "drift", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step")).select("symbol", "bar_ts", "step", (F.col("close") * F.pow(1 + F.col("drift") / steps, F.col("step").cast("double"))).alias("forecast"))
+
+
+def kendall(bars: DataFrame) -> DataFrame:
+    """(a, b, tau): Kendall's tau-b of every two symbols' returns; a group holds two columns of one pair and compares them a row at a time."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
+        total = tied_x = tied_y = 0.0
+        for i in range(1, len(x)):
+            dx, dy = np.sign(x[:i] - x[i]), np.sign(y[:i] - y[i])
+            total, tied_x, tied_y = total + float((dx * dy).sum()), tied_x + float((dx == 0).sum()), tied_y + float((dy == 0).sum())
+        n = len(x) * (len(x) - 1) / 2
+        scale = np.sqrt((n - tied_x) * (n - tied_y))
+        return pd.DataFrame({"a": [pdf["a"].iloc[0]], "b": [pdf["b"].iloc[0]], "tau": [total / scale if scale else np.nan]})
+
+    return pairs(with_returns(bars)).select("a", "b", "x", "y").groupBy("a", "b").applyInPandas(run, "a string, b string, tau double")
+
+
+def ledoit_wolf(bars: DataFrame) -> DataFrame:
+    """(a, b, cov, shrinkage): the population covariance of returns at times that all symbols have, shrunk towards an even diagonal by
+    the Ledoit-Wolf intensity, which needs only each time's sum of squares."""
+    returns = with_returns(bars).where("ret is not null").select("symbol", "bar_ts", "ret")
+    symbols = F.broadcast(returns.agg(F.count_distinct("symbol").alias("p")))  # one row
+    whole = returns.groupBy("bar_ts").agg(F.count(F.lit(1)).alias("n")).join(symbols).where("n = p").select("bar_ts", "p")
+    centred = returns.join(whole, "bar_ts").withColumn("x", F.col("ret") - F.avg("ret").over(Window.partitionBy("symbol")))
+    other = centred.select("bar_ts", F.col("symbol").alias("b"), F.col("x").alias("y"))
+    cov = centred.select("bar_ts", F.col("symbol").alias("a"), "x", "p").join(other, "bar_ts").groupBy("a", "b").agg(F.avg(F.col("x") * F.col("y")).alias("s"), F.max("p").alias("p"))
+    square = centred.groupBy("bar_ts").agg(F.sum(F.col("x") * F.col("x")).alias("q")).agg(F.avg(F.col("q") * F.col("q")).alias("fourth"), F.count(F.lit(1)).alias("n"))
+    sums = cov.agg((F.sum(F.when(F.col("a") == F.col("b"), F.col("s"))) / F.max("p")).alias("mu"), F.sum(F.col("s") * F.col("s")).alias("norm"))
+    both = cov.join(F.broadcast(sums)).join(F.broadcast(square))
+    delta = F.col("norm") - F.col("p") * F.col("mu") * F.col("mu")
+    rho = F.least(F.lit(1.0), F.greatest(F.lit(0.0), div((F.col("fourth") - F.col("norm")) / F.col("n"), delta)))
+    return both.select("a", "b", ((1 - rho) * F.col("s") + F.when(F.col("a") == F.col("b"), rho * F.col("mu")).otherwise(0.0)).alias("cov"), rho.alias("shrinkage"))

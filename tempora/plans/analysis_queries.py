@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.operators import adaptive_weights, cross_regimes, outlier_analysis, outliers
-from tempora.plans.monitor_queries import _MASK, _Y, _closes
+from tempora.operators import adaptive_weights, cross_regimes, detectors, outlier_analysis, outliers
+from tempora.plans.monitor_queries import _MASK, _Y, _closes, _metrics
 from tempora.sources.bars import BARS_SQL, PREDICTIONS_SQL, bars_weekly, predictions
 
 
@@ -25,6 +25,8 @@ QUERIES = {
     "tail_weights": _of(predictions, adaptive_weights.tail_weights), "bootstrap_intervals": _of(predictions, adaptive_weights.bootstrap_interval),
     "volatility_spillover": _of(bars_weekly, cross_regimes.spillover), "correlation_changes": _of(bars_weekly, cross_regimes.correlation_changes), "quality_scores": _of(bars_weekly, cross_regimes.quality),
     "adaptive_correlation_weights": _of(bars_weekly, lambda df: cross_regimes.adaptive_weights(df, "1-URGENT")), "trend_forecast": _of(bars_weekly, cross_regimes.trend_forecast),
+    "kendall_correlations": _of(bars_weekly, cross_regimes.kendall), "ledoit_wolf_covariance": _of(bars_weekly, cross_regimes.ledoit_wolf),
+    "isolation_scores": _of(_metrics, lambda df: detectors.isolation_forest(df, "event_id", ["metric_value", "model_id"])), "local_outlier_factors": _of(_metrics, detectors.local_outliers), "stationarity": _of(bars_weekly, detectors.stationarity),
 }
 _P = "(PARTITION BY symbol ORDER BY bar_ts)"
 _W = "(PARTITION BY symbol ORDER BY bar_ts ROWS"
@@ -63,4 +65,8 @@ u AS (SELECT a.symbol, a.k FROM f a JOIN f b ON b.symbol = a.symbol AND b.k BETW
     "adaptive_correlation_weights": f"""{_PAIRS}, t AS (SELECT CASE WHEN a = '1-URGENT' THEN b ELSE a END AS symbol, bar_ts, x, y FROM p WHERE '1-URGENT' IN (a, b)), c AS (SELECT *, {_rolled('symbol')} AS c FROM t), o AS (SELECT symbol, corr(x, y) AS correlation, greatest(0, 1 - coalesce(stddev_pop(c), 0)) AS stability FROM c GROUP BY 1), w AS (SELECT *, abs(correlation) * (0.7 + 0.3 * stability) AS w FROM o)
  SELECT symbol, round(correlation, 6) AS correlation, round(stability, 6) AS stability, round(0.7 / count(*) OVER () + 0.3 * w / sum(w) OVER (), 6) AS weight FROM w""",
     "trend_forecast": f"""{_B}, f AS (SELECT symbol, bar_ts, close, row_number() OVER {_P} AS n, CASE WHEN count(*) OVER {_W} 19 PRECEDING) = 20 THEN avg(close) OVER {_W} 4 PRECEDING) / avg(close) OVER {_W} 19 PRECEDING) - 1 END AS drift FROM r) SELECT symbol, bar_ts, s::INT AS step, round(close * pow(1 + drift / 7, s), 6) AS forecast FROM f, range(1, 8) t(s) WHERE n % 7 = 0 AND drift IS NOT NULL""",
+    "kendall_correlations": f"""{_PAIRS}, n AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY bar_ts) AS k FROM p) SELECT u.a, u.b, round(sum(sign(u.x - v.x) * sign(u.y - v.y)) / sqrt(count_if(u.x <> v.x) * count_if(u.y <> v.y)), 6) AS tau FROM n u JOIN n v ON u.a = v.a AND u.b = v.b AND u.k > v.k GROUP BY 1, 2""",
+    "ledoit_wolf_covariance": f"""{_B}, w AS (SELECT bar_ts FROM r WHERE ret IS NOT NULL GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT symbol) FROM r WHERE ret IS NOT NULL)), x AS (SELECT symbol, bar_ts, ret - avg(ret) OVER (PARTITION BY symbol) AS x FROM r JOIN w USING (bar_ts)), c AS (SELECT u.symbol AS a, v.symbol AS b, avg(u.x * v.x) AS s FROM x u JOIN x v USING (bar_ts) GROUP BY 1, 2),
+m AS (SELECT sum(s) FILTER (a = b) / count_if(a = b) AS mu, sum(s * s) AS nn, count_if(a = b) AS p FROM c), q AS (SELECT avg(q * q) AS fourth, count(*) AS n FROM (SELECT sum(x * x) AS q FROM x GROUP BY bar_ts)), h AS (SELECT mu, least(1, greatest(0, (fourth - nn) / n / (nn - p * mu * mu))) AS rho FROM m, q)
+ SELECT a, b, round((1 - rho) * s + CASE WHEN a = b THEN rho * mu ELSE 0 END, 6) AS cov, round(rho, 6) AS shrinkage FROM c, h""",
 }
