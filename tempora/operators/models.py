@@ -99,9 +99,11 @@ def grid_search(df: DataFrame, features: list[str], target: str, train: str, gri
     for k, options in enumerate(grid):
         e = F.col("prediction") - F.col("label")
         rmse = regressor("forest", **options).fit(fit).transform(test).agg(F.sqrt(F.avg(e * e))).first()[0]
-        found.append((k, str(sorted(options.items())), float(rmse)))
+        found.append((k, str(sorted(options.items())), None if rmse is None else float(rmse)))  # none without test rows
+    fit.unpersist()
+    test.unpersist()
     table = df.sparkSession.createDataFrame(found, "trial int, params string, rmse double")
-    return table.withColumn("rank", F.row_number().over(Window.orderBy("rmse", "trial")))  # one row a trial
+    return table.withColumn("rank", F.row_number().over(Window.orderBy(F.col("rmse").asc_nulls_last(), "trial")))  # one row a trial
 
 
 def as_array(df: DataFrame) -> DataFrame:

@@ -31,15 +31,11 @@ def linear_scan(df: DataFrame, steps: dict[str, tuple[Column, Column]], chunk: i
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n")
-        for k in names:
-            a, b = pdf[f"{k}__v"].to_numpy(), pdf[f"{k}__m"].to_numpy()
-            v, m = np.empty(len(a)), np.empty(len(a))
-            x, y = 0.0, 1.0
-            for i in range(len(a)):
-                x = a[i] * x + b[i]
-                y = a[i] * y
-                v[i], m[i] = x, y
-            pdf[f"{k}__v"], pdf[f"{k}__m"] = v, m
+        values, maps = [f"{k}__v" for k in names], [f"{k}__m" for k in names]
+        a, v = pdf[values].to_numpy(float), pdf[maps].to_numpy(float)
+        for i in range(1, len(v)):  # all recursions of a row at once
+            v[i] += a[i] * v[i - 1]
+        pdf[values], pdf[maps] = v, np.cumprod(a, axis=0)
         return pdf
 
     scanned = inputs.groupBy("symbol", "__chunk").applyInPandas(local, inputs.schema).persist()  # read by the chain and by the result

@@ -11,7 +11,7 @@ from tempora.operators.feature_sets import apply
 from tempora.plans.feature_queries import ORACLE_SQL as _FEATURE_SQL
 from tempora.plans.metric_queries import _D
 from tempora.sources import sinks
-from tempora.sources.bars import bars_weekly, predictions, read
+from tempora.sources.bars import BARS_SQL, bars_weekly, predictions, read
 
 
 def _round(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -147,6 +147,7 @@ _G = "PARTITION BY period_id"
 _TABLE = "WITH RECURSIVE " + _FEATURE_SQL["feature_pipeline"].split("\nSELECT symbol")[0].removeprefix("WITH ") + f", tb0 AS (SELECT symbol, bar_ts, {', '.join(FEATURES)}, lead(ret) OVER (PARTITION BY symbol ORDER BY bar_ts) AS target FROM s4_), tb AS (SELECT * FROM tb0 WHERE target IS NOT NULL AND {' AND '.join(f'{f} IS NOT NULL' for f in FEATURES)})"
 _LONG = ", lg AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {f}::DOUBLE AS x, target AS y FROM tb" for f in FEATURES) + ")"
 ORACLE_SQL = {
+    "asset_metadata": f"WITH {BARS_SQL} SELECT symbol, count(*) AS row_count, min(bar_ts) AS start_date, max(bar_ts) AS end_date, avg(((open IS NULL)::INT + (high IS NULL)::INT + (low IS NULL)::INT + (close IS NULL)::INT + (volume IS NULL)::INT) / 5) AS missing_data_pct, 1 - avg(((open IS NULL)::INT + (high IS NULL)::INT + (low IS NULL)::INT + (close IS NULL)::INT + (volume IS NULL)::INT) / 5) AS data_quality_score FROM bars GROUP BY 1",
     "scalar_functions": """WITH p AS (SELECT p_partkey, p_size::DOUBLE AS x, p_retailprice AS y, p_size % 12 AS k FROM part)
  SELECT p_partkey, round(CASE WHEN x > 10 THEN ln(x - 10) END, 6) AS log, round(CASE WHEN x >= 10 THEN sqrt(x - 10) END, 6) AS root, round((y - x - 1) / abs(x + 1), 6) AS change, round(ln(y / (x + 1)), 6) AS log_return, round(pow(y / (x + 1), 1.0 / (k + 1)) - 1, 6) AS cagr, round(pow(1 + x / 1000, 12.0 / (k + 1)) - 1, 6) AS annual, round(x / 1000 * sqrt(252), 6) AS vol,
  round(1 + 2 * x / 50, 6) AS line, least(greatest(x, 10), 40)::DOUBLE AS clamped, (abs(x - 20) < 0.5)::INT AS near, round(floor((x / 8 - 3) * 10 + 0.5) / 10, 6) AS rounded, factorial(k::INT)::DOUBLE AS factorial, (factorial(12) / (factorial(k::INT) * factorial((12 - k)::INT)))::DOUBLE AS combination, CASE WHEN k > 8 THEN 0.0 ELSE (factorial(8) / factorial(greatest(8 - k, 0)::INT))::DOUBLE END AS permutation,

@@ -18,7 +18,7 @@ def recursive_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parabolic_sar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recursive.parabolic_sar(bars_weekly(spark, sf_dir))
+    return recursive.parabolic_sar(bars_weekly(spark, sf_dir)).withColumn("sar", F.round("sar", 6))
 
 
 def spectral_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,5 +57,16 @@ def _spectral_sql() -> str:
     return f"WITH {BARS_SQL} SELECT {q.rounded({'fourier_real': real, 'fourier_imag': imag, 'smooth': smooth}, 3)} FROM bars"
 
 
+def _sar_sql(start: float = 0.02, step: float = 0.02, most: float = 0.2) -> str:
+    crossed = "CASE WHEN w.up THEN t.low < w.stop + w.speed * (w.extreme - w.stop) ELSE t.high > w.stop + w.speed * (w.extreme - w.stop) END"
+    further = "CASE WHEN w.up THEN t.high > w.extreme ELSE t.low < w.extreme END"
+    return f"""WITH RECURSIVE {BARS_SQL}, t AS (SELECT symbol, bar_ts, high::DOUBLE AS high, low::DOUBLE AS low, row_number() OVER (PARTITION BY symbol ORDER BY bar_ts) AS n FROM bars),
+w AS (SELECT symbol, bar_ts, n, low AS stop, true AS up, {start}::DOUBLE AS speed, high AS extreme FROM t WHERE n = 1
+ UNION ALL SELECT t.symbol, t.bar_ts, t.n, CASE WHEN {crossed} THEN w.extreme ELSE w.stop + w.speed * (w.extreme - w.stop) END, CASE WHEN {crossed} THEN NOT w.up ELSE w.up END,
+ CASE WHEN {crossed} THEN {start}::DOUBLE WHEN {further} THEN least(w.speed + {step}, {most})::DOUBLE ELSE w.speed END, CASE WHEN {crossed} THEN CASE WHEN w.up THEN t.low ELSE t.high END WHEN {further} THEN CASE WHEN w.up THEN t.high ELSE t.low END ELSE w.extreme END
+ FROM w JOIN t ON t.symbol = w.symbol AND t.n = w.n + 1)
+SELECT symbol, bar_ts, round(stop, 6) AS sar, (CASE WHEN up THEN 1 ELSE -1 END)::INT AS trend FROM w"""
+
+
 QUERIES = {"recursive_indicators": recursive_indicators, "parabolic_sar": parabolic_sar, "spectral_features": spectral_features}
-ORACLE_SQL = {"recursive_indicators": _SQL, "spectral_features": _spectral_sql()}
+ORACLE_SQL = {"recursive_indicators": _SQL, "spectral_features": _spectral_sql(), "parabolic_sar": _sar_sql()}

@@ -20,6 +20,6 @@ def test_against_sql(name, spark, sf_dir, duck):
     oracle.check(QUERIES[name](spark, sf_dir), duck, ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - {"model_comparison", "hyperparameter_search", "selected_features", "asset_clusters", "optimal_weights"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(name, spark, sf_dir):
     assert QUERIES[name](spark, sf_dir).count() > 0
