@@ -262,7 +262,7 @@ FAMILIES["regimes"] = Family(
         {"cumret": f"CASE WHEN count(ret) {over(20, 1)} = 20 THEN exp(sum(ln(1 + ret)) {over(20, 1)}) - 1 END", "vol20": std("ret", 20, 1), "m1": avg("close", 20, 1), "m2": avg("close", 20, 21), "s1": std("close", 20, 1), "s2": std("close", 20, 21), "slope20": f"CASE WHEN count(close) {over(20, 1)} = 20 THEN regr_slope(close, CAST(n AS DOUBLE)) {over(20, 1)} END", "r2": f"CASE WHEN count(close) {over(20, 1)} = 20 THEN regr_r2(close, CAST(n AS DOUBLE)) {over(20, 1)} END"},
         {"market": "CASE WHEN vol20 > 0.5 THEN 2 WHEN cumret > 0.05 THEN 1 WHEN cumret < -0.05 THEN -1 WHEN cumret IS NOT NULL THEN 0 END", "ql": (f"percentile(vol20, 0.25) {_PREV}", f"quantile_cont(vol20, 0.25) {_PREV}"), "qh": (f"percentile(vol20, 0.75) {_PREV}", f"quantile_cont(vol20, 0.75) {_PREV}"), "broke": "CASE WHEN abs(m1 - m2) > 2 * s2 OR s1 > 2 * s2 OR s1 < 0.5 * s2 THEN 1 WHEN m2 IS NOT NULL THEN 0 END", "trend": div("slope20", "m1")},
         {"vol_regime": "CASE WHEN vol20 > qh THEN 2 WHEN vol20 < ql THEN 0 WHEN ql IS NOT NULL AND vol20 IS NOT NULL THEN 1 END", "market0": lag("market"), "trend_regime": "CASE WHEN r2 > 0.5 AND trend > 0 THEN 1 WHEN r2 > 0.5 AND trend < 0 THEN -1 WHEN r2 IS NOT NULL THEN 0 END"},
-        {"spell": f"sum(CASE WHEN market = market0 THEN 0 ELSE 1 END) OVER ({P} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "stayed": "CASE WHEN market0 IS NOT NULL THEN CASE WHEN market = market0 THEN 1.0 ELSE 0.0 END END"},
+        {"spell": f"sum(CASE WHEN market = market0 THEN 0 ELSE 1 END) OVER ({P} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "stayed": "CASE WHEN market0 IS NOT NULL THEN CAST(CASE WHEN market = market0 THEN 1 ELSE 0 END AS DOUBLE) END"},
         {"persistence": "row_number() OVER (PARTITION BY symbol, spell ORDER BY bar_ts)", "stay_probability": "avg(stayed) OVER (PARTITION BY symbol, market0 ORDER BY bar_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"},
     ),
     ("cumret", "vol20", "market", "persistence", "vol_regime", "trend", "r2", "trend_regime", "broke", "stay_probability"),
