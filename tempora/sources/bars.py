@@ -45,6 +45,15 @@ def bars_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bars_by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly bars of each part from its line items; thousands of symbols, which grow with the data."""
+    x = read(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    key = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice")
+    return x.groupBy(F.col("l_partkey").cast("string").alias("symbol"), F.date_trunc("week", "l_shipdate").cast("timestamp_ntz").alias("bar_ts")).agg(
+        F.min_by("l_extendedprice", key).alias("open"), F.max("l_extendedprice").alias("high"), F.min("l_extendedprice").alias("low"), F.max_by("l_extendedprice", key).alias("close"), F.sum("l_quantity").alias("volume")
+    )
+
+
 def bars_intraday(spark: SparkSession, sf_dir: str, width: str = "6 hours") -> DataFrame:
     """Bars of `width` by event type; price is the value, volume the sum of props.k."""
     e = read(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
