@@ -23,7 +23,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = (out, path)
+    return out
+
+
+_written: dict[int, tuple[DataFrame, str]] = {}
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialise wrote, once nothing reads it any more."""
+    _, path = _written.pop(id(df))
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 #: Rows of whole texts, or of shingle sets, that a Python worker holds at once.

@@ -2,7 +2,8 @@
 
 Every step replaces links by links to smaller neighbours, which keeps the components and makes stars of them in few
 rounds.  Minima are taken before the join, so a hub with very many links is pre-aggregated, and its join is one
-that Spark can split.  Each round is written to the shared folder.
+that Spark can split.  Each round is written to the shared folder, and the one before it deleted.  Components settle in
+a number of rounds that grows with the logarithm of the longest path; after `max_rounds` a RuntimeError says that they have not.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import materialise
+from tempora.llm.common import discard, materialise
 
 #: Links that one task holds at most when few links are left.
 PER_TASK = 250_000
@@ -42,7 +43,9 @@ def connected_components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
         after = materialise(_small_star(_large_star(current)).distinct().coalesce(tasks), "links")
         state = after.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node", "hub").cast("decimal(38,0)")).alias("h")).first()
         size = state["n"]
-        if previous is not None and (state["n"], state["h"]) == previous:
+        settled = previous is not None and (state["n"], state["h"]) == previous
+        discard(after if settled else current)  # of two rounds one goes on
+        if settled:
             break
         previous, current = (state["n"], state["h"]), after
     else:

@@ -127,14 +127,22 @@ def hits(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int =
     none = F.lit(None).cast("string").alias("item_id")
     out = out.unionByName(met.where("place < 0").select("doc_id", "text_hash", "n_words", none, F.lit(-1).alias("start"), F.lit(-1).alias("end")))
 
+    # items of fewer words: one pass with the runs of each length that occurs
     short = items.where(F.size("iw") < span)
-    for (n,) in short.select(F.size("iw").alias("n")).distinct().orderBy("n").collect():  # fewer than `span` lengths
-        whole = short.where(F.size("iw") == n).select("item_id", F.get(gram_hashes(F.col("iw"), n), F.lit(0)).alias("h")).distinct()
+    lengths = [r["n"] for r in short.select(F.size("iw").alias("n")).distinct().orderBy("n").collect()]  # fewer than `span`
+    if lengths:
+        own = F.coalesce(*[F.when(F.size("iw") == n, F.get(gram_hashes(F.col("iw"), n), F.lit(0))) for n in lengths])
+        whole = short.select("item_id", F.size("iw").alias("length"), own.alias("h")).distinct()
         if whole.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
             whole = F.broadcast(whole)
+
+        def marked(n: int) -> Column:
+            return F.transform(gram_hashes(F.col("words"), n), lambda h, i: F.struct(F.lit(n).alias("length"), i.alias("start"), h.alias("h")))
+
+        runs = F.concat(*[marked(n) for n in lengths])
         split = rows.select("doc_id", "text_hash", words_of(F.col("text")).alias("words"))
-        grams = split.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), F.posexplode_outer(gram_hashes(F.col("words"), n)).alias("start", "h"))
-        out = out.unionByName(grams.join(whole, "h").select("doc_id", "text_hash", "n_words", "item_id", "start", (F.col("start") + n).alias("end")))
+        grams = split.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), F.explode_outer(runs).alias("run")).select("doc_id", "text_hash", "n_words", "run.*")
+        out = out.unionByName(grams.join(whole, ["length", "h"]).select("doc_id", "text_hash", "n_words", "item_id", "start", (F.col("start") + F.col("length")).alias("end")))
     return out
 
 
