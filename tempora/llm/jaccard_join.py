@@ -40,7 +40,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempora.llm.common import free_name, materialise, small, small_batches, table, text_or_empty
@@ -184,13 +184,38 @@ def _measured(sets: DataFrame, p: Params, seed: int) -> DataFrame:
 FAR = 0.5
 
 
-def _voronoi(measured: DataFrame, p: Params) -> DataFrame:
+def _balls(measured: DataFrame, few: bool) -> DataFrame:
+    """measured with `component`: the least pivot that a document's own pivots are joined to by documents in several balls; null where it is in none.
+
+    What meets is one row a region: its different sets of linked pivots, at most two to the power of `pivots`.
+    """
+    own = F.transform(F.filter("near", lambda q: q["linked"]), lambda q: q["pivot"])
+    rows = measured.withColumn("own", own)
+    met = rows.where(F.size("own") > 0).groupBy("region").agg(F.collect_set("own").alias("sets"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels = []
+            for sets in batch.column("sets").to_pylist():
+                label = {x: x for group in sets for x in group}
+                for _ in sets:  # each pass settles one more at least
+                    for group in sets:
+                        least = min(label[x] for x in group)
+                        label = {x: least if y in {label[z] for z in group} else y for x, y in label.items()}
+                labels.append(sorted(label.items()))
+            yield pa.RecordBatch.from_arrays([batch.column("region"), pa.array(labels, pa.map_(pa.int64(), pa.int64()))], ["region", "labels"])
+
+    found = met.mapInArrow(run, "region long, labels map<long, long>")
+    return rows.join(F.broadcast(found) if few else found, "region", "left").withColumn("component", F.when(F.size("own") > 0, F.element_at("labels", F.get("own", 0)))).drop("own", "labels")
+
+
+def _voronoi(measured: DataFrame, p: Params, few: bool) -> DataFrame:
     """(region, home, cell, node, n, shingles, component): documents at home with their nearest pivot, and as guests where windows reach."""
     e, slack = 1 - p.percent / 100, 1e-9
     cells = F.concat(F.transform("near", lambda q: q["d"]), F.array(F.lit(FAR)))
     homed = measured.withColumn("ds", cells).withColumn("best", F.array_min("ds")).withColumn("home", F.array_position("ds", F.col("best")).cast("int") - 1)
     radius = homed.groupBy("region", "home").agg(F.max("best").alias("r")).groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("home", "r"))).alias("radius"))  # `pivots` entries a region
-    homed = homed.join(_small(radius), "region")
+    homed = homed.join(F.broadcast(radius) if few else radius, "region")
     reached = F.filter(
         F.sequence(F.lit(0), F.col("home")),
         lambda i: (i == F.col("home")) | ((F.get("ds", i) <= F.col("best") + 2 * e + slack) & (F.get("ds", i) <= F.element_at("radius", i) + e + slack)),
@@ -228,28 +253,31 @@ def _blocks(sets: DataFrame, p: Params) -> DataFrame:
     return met.select(F.col("pair").alias("region"), "node", "n", "shingles")
 
 
-def _divided(sets: DataFrame, p: Params) -> tuple[DataFrame | None, DataFrame]:
+def _divided(sets: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
     """(links to pivots, the regions that are left, none above a leaf) of regions that are all above a leaf."""
     links, leaves, rest = None, None, sets
     add = lambda whole, part: part if whole is None else whole.unionByName(part)
     kept = lambda df: df.select("region", "node", "n", "shingles")
     for level in range(p.levels):
         measured = _measured(rest, p, 100 + 2 * level)
+        few = measured.select("region").distinct().count() * (p.pivots + 1) <= MAX_BROADCAST  # rows of what has a row a cell
         links = add(links, measured.select("node", F.explode(F.filter("near", lambda q: q["linked"])).alias("q")).select("node", F.col("q.pivot").alias("hub")).where("node != hub").distinct())
-        components = connected_components(links)
-        measured = measured.join(_small(components), "node", "left")
-        cells = materialise(_voronoi(measured, p), "jaccard-cells")
-        open_cells = materialise(_open(cells, "region", "cell"), "jaccard-open")
-        before = measured.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
-        spread = materialise(open_cells.groupBy("region").agg(F.sum("size").alias("after")).join(before, "region").select("region", (F.col("after") <= 2 * F.col("size")).alias("splits")), "jaccard-splits")
-        splits, stuck = spread.where("splits").select("region"), spread.where("not splits").select("region")
-        leaves = add(leaves, _blocks(measured.join(_small(stuck), "region").drop("near"), p))
-        inside = cells.join(_small(open_cells.join(splits, "region")), ["region", "cell"]).withColumn("region", F.xxhash64("region", "cell", F.lit(level)))
+        measured = _balls(measured, few)
+        cells = materialise(_voronoi(measured, p, few), "jaccard-cells")
+        before = measured.groupBy("region").agg(F.count(F.lit(1)).alias("documents"))
+        open_cells = _open(cells, "region", "cell").join(before, "region")
+        after = F.sum("size").over(Window.partitionBy("region"))  # `pivots` rows
+        open_cells = materialise(open_cells.select("region", "cell", "size", "weight", (after <= 2 * F.col("documents")).alias("splits")), "jaccard-open")
+        of = lambda x: F.broadcast(x) if few else x  # noqa: B023, E731
+        stuck = open_cells.where("not splits").select("region").distinct()
+        if stuck.limit(1).count():
+            leaves = add(leaves, _blocks(measured.join(of(stuck), "region").drop("near"), p))
+        inside = cells.join(of(open_cells.where("splits")), ["region", "cell"]).withColumn("region", F.xxhash64("region", "cell", F.lit(level)))
         large = _too_large(F.col("size"), F.col("weight"), p)
         leaves = add(leaves, kept(inside.where(~large)))
-        rest = materialise(kept(inside.where(large)), "jaccard-rest")
-        if not rest.limit(1).count():
+        if not open_cells.where("splits").where(large).limit(1).count():
             return links, leaves
+        rest = materialise(kept(inside.where(large)), "jaccard-rest")
     rest = rest.join(_small(connected_components(links)), "node", "left")
     return links, leaves.unionByName(_blocks(rest, p))
 
