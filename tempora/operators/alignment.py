@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tempora.sources.shared import shared_folder
+
 
 def wide_pivot(bars: DataFrame, symbols: list[str], column: str = "close") -> DataFrame:
     """One row a time, one column a symbol."""
@@ -46,12 +50,28 @@ def weight_changes(current: DataFrame, target: DataFrame, threshold: float = 0.0
 
 
 def lineage(spark: SparkSession, configs: DataFrame) -> DataFrame:
-    """(config_id, root, depth): the root of each config's chain of parents (config_id, parent_id), by recursive SQL."""
-    return spark.sql(
-        """
-        WITH RECURSIVE walk(config_id, at, depth) AS (
-          SELECT config_id, config_id, 0 FROM {configs}
-          UNION ALL SELECT w.config_id, c.parent_id, w.depth + 1 FROM walk w JOIN {configs} c ON c.config_id = w.at WHERE c.parent_id IS NOT NULL)
-        SELECT config_id, max_by(at, depth) AS root, max(depth) AS depth FROM walk GROUP BY config_id""",
-        configs=configs,
-    )
+    """(config_id, root, depth): the root of each config's chain of parents (config_id, parent_id), and the chain's length.
+
+    Steps are doubled: a round joins walks of 2^k steps with the longest walks of fewer steps from where they end, so a
+    chain of n configs takes log2(n) rounds, and no row is kept for each of its steps.  Of several chains the longest counts,
+    and of equally long ones that with the greatest root; chains that close a circle are an error.
+    """
+    kind, path = configs.schema["config_id"].dataType, f"{shared_folder(spark)}/lineage-{uuid.uuid4().hex}"
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    steps = stored(configs.select("config_id", F.col("parent_id").cast(kind).alias("at")).where("config_id IS NOT NULL AND at IS NOT NULL").distinct(), "steps-0")
+    walks = configs.select("config_id", F.col("config_id").alias("root"), F.lit(0).alias("depth"))
+    n, k = steps.count(), 0
+    while not steps.isEmpty():
+        if 2**k > n:  # as many steps as there are parents are walked, so some were walked twice
+            raise ValueError("a chain of parents closes a circle")
+        further = steps.join(walks.select(F.col("config_id").alias("at"), "root", F.col("depth").alias("more")), "at", "left")
+        further = further.select("config_id", F.coalesce("root", "at").alias("root"), (F.lit(2**k) + F.coalesce("more", F.lit(0))).cast("int").alias("depth"))
+        best = walks.unionByName(further).groupBy("config_id").agg(F.max(F.struct("depth", "root")).alias("best"))
+        following = steps.join(steps.select(F.col("config_id").alias("at"), F.col("at").alias("next")), "at").select("config_id", F.col("next").alias("at")).distinct()
+        k += 1
+        walks, steps = stored(best.select("config_id", "best.root", "best.depth"), f"walks-{k}"), stored(following, f"steps-{k}")
+    return walks.groupBy("config_id").agg(F.max(F.struct("depth", "root")).alias("best")).select("config_id", "best.root", "best.depth")

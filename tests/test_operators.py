@@ -70,6 +70,15 @@ def test_nearest_asof_prefers_the_earlier_of_two(spark):
     assert out == {("A", 2): 1.0, ("A", 6): 2.0, ("B", 1): None}
 
 
+def test_lineage_of_long_chains(spark):
+    rows = [(k, k - 1 if k else None) for k in range(150)] + [(200, 149), (200, 3), (201, 999), (201, 999), (None, 7)]  # two parents, an unknown one, repeated rows
+    out = {r["config_id"]: (r["root"], r["depth"]) for r in alignment.lineage(spark, spark.createDataFrame(rows, "config_id long, parent_id long")).collect()}
+    assert out == {**{k: (0, k) for k in range(150)}, 200: (0, 150), 201: (999, 1), None: (None, 0)}
+    assert alignment.lineage(spark, spark.createDataFrame([], "config_id long, parent_id long")).count() == 0
+    with pytest.raises(ValueError, match="circle"):
+        alignment.lineage(spark, spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "config_id long, parent_id long"))
+
+
 def test_walk_forward_periods_keep_the_purge():
     found = metrics.periods(100, 40, 10, 10, purge=2)
     assert all(c - b == 2 and d - c == 10 for _, _, b, c, d in found) and found[-1][4] <= 100
