@@ -31,7 +31,7 @@ def metric_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metric_degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(monitoring.degradation(_metrics(spark, sf_dir)))
+    return monitoring.degradation(_metrics(spark, sf_dir)).withColumn("change", F.round(F.col("change") * 1e6) / 1e6)  # of the double, as SQL rounds
 
 
 def alert_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tempora.operators import adaptive_weights, cross_regimes, detectors, ema_features, outlier_analysis, recursive, regime_analysis, reporting, tracking, validation
+from tempora.operators import adaptive_weights, cross_regimes, detectors, ema_features, monitoring, outlier_analysis, recursive, regime_analysis, reporting, tracking, validation
 from tests.test_operators import START, make_bars
 
 
@@ -168,3 +168,18 @@ def test_fractional_means_are_recursions(spark):
         want.append(want[-1] + 2 / 3.5 * (v - want[-1]))
     assert got == pytest.approx(want)
     assert recursive.span(2.5) == pytest.approx(2 / 3.5)
+
+
+def test_degradation_is_its_sql_on_ties_and_nulls(spark, tmp_path):
+    from tempora.plans.monitor_queries import ORACLE_SQL, metric_degradation
+    from tests import oracle
+
+    # cents whose means' ratios are often ties of the sixth digit or of a threshold; every seventh value of a second model is null
+    rng = np.random.default_rng(2)
+    values = [float(v) for v in rng.choice([0.05, 0.1, 0.14, 0.15, 0.2, 0.35, 1.28], 4000)]
+    rows = [(k, START + dt.timedelta(minutes=k // 3), 4 * (k % 5) + k % 2, "view", None if k % 14 == 1 else v) for k, v in enumerate(values)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["event_id"]: (r["change"], r["severity"]) for r in metric_degradation(spark, str(tmp_path)).collect()}
+    c = oracle.duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert got == {k: (change, severity) for k, change, severity in c.execute(ORACLE_SQL["metric_degradation"]).fetchall()}
