@@ -13,15 +13,15 @@ so what is rare is smoothed by counts that both classes share, and says as littl
 (or, of pairs, `discount_pair`) in the smaller class and grows with the class (of pairs, with the class's
 count of the context), so that both classes lose like shares.
 
-A pair above its discount has a context that both classes have seen more than `discount_pair` times and a word that one of them has.
-So words are counted first, then pairs of such words only, which loses none and spares a row for each other pair.
-C(v) counts v where a word follows; a text's first word has P(w).
+All pairs are counted.  C(v) counts v where a word follows; a text's first word has P(w), and so has a word after a context
+that one of the classes has not seen.
 
 A text's value is the mean over its words of log P1 - log P0, less the mean of the middle eight tenths of them, which is the
 language and style of the text, as far as ordinary texts have such means, so that a text whose words are mostly toxic
-keeps its ratio.  The score is a logistic function of that and of the same times the root of the number of words, by
-which a mean over more words is surer.  It is fitted on a bounded number of labelled rows held out of the counts; then
-these are counted as well, so that every labelled training row is in the counts that score.
+keeps its ratio.  Such a value is taken of P(w) and, as what it adds, of P(w | v), since the ratios of pairs are noisier.
+The score is a logistic function of both values and of the same times the root of the number of words, by which a mean
+over more words is surer.  It is fitted on a bounded number of labelled rows held out of the counts; then these are
+counted as well, so that every labelled training row is in the counts that score.
 
 Counts are rows of tables in the shared folder, keyed by full 64-bit hashes of words, so they grow with the corpus.
 What differs from the shared level is rated.  Up to MAX_BROADCAST of these ratios are broadcast, checked; beyond that
@@ -47,7 +47,7 @@ from tempora.llm.hashing import _BASE, blocks, mix, string_buffers, word_hashes
 
 #: ASCII characters but letters and digits separate words; bytes of other characters belong to them.
 SEPARATORS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-#: Ratios (20 bytes each) that are broadcast at most, and words (8 bytes each) whose pairs are counted alone.
+#: Ratios (20 bytes each) that are broadcast at most.
 MAX_BROADCAST = 4_000_000
 #: Kinds of ratios: of (context, word), of (0, word), of (0, stem), of a context's other words, and of words of unknown stems.
 PAIR, WORD, STEM, CONTEXT, REST = 0, 1, 2, 3, 4
@@ -60,7 +60,7 @@ class Params:
     max_calibration: rows that fit it at most."""
 
     discount: float = 5
-    discount_pair: float = 200
+    discount_pair: float = 0.75
     trim: int = 10
     calibrate: int = 2
     max_calibration: int = 20000
@@ -118,43 +118,24 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x.stem[first].view(np.int64)), pa.array(words.view(np.int64)), *counts], ["a", "b", *CLASSES, *CONTEXTS])
 
 
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for x, label, held in _streams(batches):
+        at = np.flatnonzero(x.before != _BASE)
+        _, first, group = np.unique(_pair_hash(x.before[at], x.word[at]), return_index=True, return_inverse=True)
+        if len(first):
+            first = at[first]
+            yield pa.RecordBatch.from_arrays([pa.array(x.before[first].view(np.int64)), pa.array(x.word[first].view(np.int64)), *_by_class(group, len(first), label[at], held[at])], ["a", "b", *CLASSES])
+
+
 def count(rows: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
     """(words: a stem, b word, CLASSES, CONTEXTS; pairs: a context, b word, CLASSES) of rows (text, label, held if there is such)."""
     rows = rows.select("text", "label", (F.col("held") if "held" in rows.columns else F.lit(False)).alias("held"))
     counted = rows.mapInArrow(_count_words, "a long, b long, " + ", ".join(f"{c} int" for c in CLASSES + CONTEXTS))
     words = materialise(counted.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in CLASSES + CONTEXTS]), "toxicity-words")
-    context = F.least("c0", "c1") > p.discount_pair
-    frequent = words.where(F.greatest("n0", "n1", "c0", "c1") > p.discount_pair).select("b", context.alias("context"))
-    few = frequent.limit(MAX_BROADCAST + 1).toArrow()
-    known = few.column("b").to_numpy().astype(np.int64).view(np.uint64)
-    contexts = known[few.column("context").to_numpy().astype(bool)]
-    bounds = (np.sort(contexts), np.sort(known)) if len(known) <= MAX_BROADCAST else None  # beyond it all pairs are counted
-    shared = rows.sparkSession.sparkContext.broadcast(bounds)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = shared.value
-        for x, label, held in _streams(batches):
-            at = x.before != _BASE
-            if bounds is not None:
-                at &= _among(x.before, bounds[0])
-                at &= _among(x.word, bounds[1])
-            at = np.flatnonzero(at)
-            _, first, group = np.unique(_pair_hash(x.before[at], x.word[at]), return_index=True, return_inverse=True)
-            if len(first):
-                first = at[first]
-                yield pa.RecordBatch.from_arrays([pa.array(x.before[first].view(np.int64)), pa.array(x.word[first].view(np.int64)), *_by_class(group, len(first), label[at], held[at])], ["a", "b", *CLASSES])
-
-    pairs = rows.mapInArrow(run, "a long, b long, " + ", ".join(f"{c} int" for c in CLASSES))
+    pairs = rows.mapInArrow(_count_pairs, "a long, b long, " + ", ".join(f"{c} int" for c in CLASSES))
     return words, materialise(pairs.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in CLASSES]), "toxicity-pairs")
 
 
-def _among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
-    """Which values are among some sorted ones."""
-    if not len(some):
-        return np.zeros(len(values), bool)
-    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
-
-
 def without_held(counts: DataFrame) -> DataFrame:
     """counts of the rows that are not held out."""
     less = [(F.col(x) - F.col(y)).alias(x) for x, y in (("n0", "h0"), ("n1", "h1"), ("c0", "g0"), ("c1", "g1")) if x in counts.columns]
@@ -223,18 +204,22 @@ def _lookups(rated: DataFrame) -> dict[int, Lookup] | None:
     return {k: Lookup(_pair_hash(a[kind == k], b[kind == k]) if k == PAIR else b[kind == k], ratio[kind == k]) for k in (PAIR, WORD, STEM, CONTEXT, REST)}
 
 
-def _word_ratios(x: Stream, found: dict[int, Lookup]) -> np.ndarray:
+def _word_ratios(x: Stream, found: dict[int, Lookup]) -> tuple[np.ndarray, np.ndarray]:
+    """The words' ratios after their predecessors, and by themselves."""
     ratio = found[WORD].get(x.word)
     rest = np.flatnonzero(np.isnan(ratio))
     by_stem = found[STEM].get(x.stem[rest])
     ratio[rest] = np.where(np.isnan(by_stem), found[REST].values[0], by_stem)
-    ratio += np.nan_to_num(found[CONTEXT].get(x.before))
     pair = found[PAIR].get(_pair_hash(x.before, x.word))
-    return np.where(np.isnan(pair), ratio, pair)
+    return np.where(np.isnan(pair), ratio + np.nan_to_num(found[CONTEXT].get(x.before)), pair), ratio
+
+
+#: What measure finds of a text: the mean of its words' ratios and that of the middle ones, and both of the words by themselves.
+MEASURES = ("mean", "middle", "word_mean", "word_middle")
 
 
 def measure(rows: DataFrame, rated: DataFrame, trim: int = Params.trim) -> DataFrame:
-    """rows with, in place of text, its number of words n, the mean of their ratios, and that of the middle ones."""
+    """rows with, in place of text, its number of words n and MEASURES."""
     found, others = _lookups(rated), [c for c in rows.columns if c != "text"]
     if found is None:
         return _measure_by_join(rows, rated, trim)
@@ -245,14 +230,15 @@ def measure(rows: DataFrame, rated: DataFrame, trim: int = Params.trim) -> DataF
             data, offsets = string_buffers(batch.column("text"))
             for i, j in blocks(offsets, 1 << 22):
                 x = stream(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                ratio, n = _word_ratios(x, shared.value), np.bincount(x.row, minlength=x.n_rows)
-                mean = np.bincount(x.row, weights=ratio, minlength=x.n_rows) / np.maximum(n, 1)
-                sums = np.append(0.0, np.cumsum(ratio[np.lexsort((ratio, x.row))]))
+                n, means = np.bincount(x.row, minlength=x.n_rows), []
                 ends, cut = np.cumsum(n), n // trim
-                middle = (sums[ends - cut] - sums[ends - n + cut]) / np.maximum(n - 2 * cut, 1)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in others], pa.array(n.astype(np.int64)), pa.array(mean), pa.array(middle)], [*others, "n", "mean", "middle"])
+                for ratio in _word_ratios(x, shared.value):
+                    means.append(np.bincount(x.row, weights=ratio, minlength=x.n_rows) / np.maximum(n, 1))
+                    sums = np.append(0.0, np.cumsum(ratio[np.lexsort((ratio, x.row))]))
+                    means.append((sums[ends - cut] - sums[ends - n + cut]) / np.maximum(n - 2 * cut, 1))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in others], pa.array(n.astype(np.int64)), *map(pa.array, means)], [*others, "n", *MEASURES])
 
-    return rows.mapInArrow(run, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in others) + ", n long, mean double, middle double")
+    return rows.mapInArrow(run, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in others) + ", n long, " + ", ".join(f"{c} double" for c in MEASURES))
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,14 +258,16 @@ def _measure_by_join(rows: DataFrame, rated: DataFrame, trim: int) -> DataFrame:
     for k, keys in ((PAIR, {"a": "before", "b": "word"}), (WORD, {"b": "word"}), (STEM, {"b": "stem"}), (CONTEXT, {"b": "before"})):
         different = different.join(rated.where(F.col("kind") == k).select(*[F.col(c).alias(to) for c, to in keys.items()], F.col("ratio").alias(f"r{k}")), list(keys.values()), "left")
     rest = rated.where(F.col("kind") == REST).first()["ratio"]
-    rating = different.select("before", "word", F.coalesce("r0", F.coalesce("r1", "r2", F.lit(rest)) + F.coalesce("r3", F.lit(0.0))).alias("ratio"))
-    listed = words.select("h", "before", "word").join(rating, ["before", "word"]).groupBy("h").agg(F.array_sort(F.collect_list("ratio")).alias("list"))
+    alone = F.coalesce("r1", "r2", F.lit(rest))
+    rating = different.select("before", "word", F.coalesce("r0", alone + F.coalesce("r3", F.lit(0.0))).alias("ratio"), alone.alias("alone"))
+    listed = words.select("h", "before", "word").join(rating, ["before", "word"]).groupBy("h").agg(F.array_sort(F.collect_list("ratio")).alias("list"), F.array_sort(F.collect_list("alone")).alias("words"))
     copies = texts.groupBy("h").agg(F.count(F.lit(1)).alias("copies"))  # a text's words come once a copy, which changes no mean
     size = F.size("list")
     cut = (F.floor(size / F.col("copies") / trim) * F.col("copies")).cast("int")
     mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x) / F.size(xs)
-    one = listed.join(copies, "h").select("h", (size / F.col("copies")).cast("long").alias("n"), mean(F.col("list")).alias("mean"), mean(F.slice("list", cut + 1, size - 2 * cut)).alias("middle"))
-    return texts.drop("text").join(one, "h", "left").drop("h").fillna({"n": 0, "mean": 0.0, "middle": 0.0})
+    means = [m for xs in ("list", "words") for m in (mean(F.col(xs)), mean(F.slice(xs, cut + 1, size - 2 * cut)))]
+    one = listed.join(copies, "h").select("h", (size / F.col("copies")).cast("long").alias("n"), *[m.alias(c) for m, c in zip(means, MEASURES, strict=True)])
+    return texts.drop("text").join(one, "h", "left").drop("h").fillna({"n": 0, **dict.fromkeys(MEASURES, 0.0)})
 
 
 def ordinary_middles(n: np.ndarray, middle: np.ndarray) -> tuple[float, float]:
@@ -298,30 +286,33 @@ class Model:
 
     rated: DataFrame
     trim: int = Params.trim
-    slopes: np.ndarray = field(default_factory=lambda: np.zeros(2))
+    slopes: np.ndarray = field(default_factory=lambda: np.zeros(4))
     shift: float = 0.0
-    low: float = 0.0
-    high: float = 0.0
+    ranges: tuple[tuple[float, float], tuple[float, float]] = ((0.0, 0.0), (0.0, 0.0))
 
     def probability(self) -> Column:
-        """The score from n, mean and middle."""
-        ratio = F.when(F.col("n") > 0, F.col("mean") - F.greatest(F.least(F.col("middle"), F.lit(float(self.high))), F.lit(float(self.low)))).otherwise(0.0)
-        return 1.0 / (1.0 + F.exp(-F.greatest(F.least(ratio * float(self.slopes[0]) + ratio * F.sqrt("n") * float(self.slopes[1]) + float(self.shift), F.lit(40.0)), F.lit(-40.0))))
-
-    def calibrate(self, n: np.ndarray, mean: np.ndarray, middle: np.ndarray, labels: np.ndarray) -> None:
+        """The score from n and MEASURES."""
+        pair, word = (F.when(F.col("n") > 0, F.col(mean) - F.greatest(F.least(F.col(middle), F.lit(float(high))), F.lit(float(low)))).otherwise(0.0) for mean, middle, (low, high) in zip(MEASURES[::2], MEASURES[1::2], self.ranges, strict=True))
+        value = F.lit(float(self.shift))
+        for k, ratio in enumerate((word, pair - word)):
+            value += ratio * float(self.slopes[2 * k]) + ratio * F.sqrt("n") * float(self.slopes[2 * k + 1])
+        return 1.0 / (1.0 + F.exp(-F.greatest(F.least(value, F.lit(40.0)), F.lit(-40.0))))
+
+    def calibrate(self, n: np.ndarray, mean: np.ndarray, middle: np.ndarray, word_mean: np.ndarray, word_middle: np.ndarray, labels: np.ndarray) -> None:
         """Fit the logistic function by Newton steps with a weak penalty; both classes must occur."""
         if len(labels) == 0 or labels.min() == labels.max():
             return
-        self.low, self.high = ordinary_middles(n[labels == 0], middle[labels == 0])
-        ratio = np.where(n > 0, mean - np.clip(middle, self.low, self.high), 0.0)
-        ratios = np.stack([ratio, ratio * np.sqrt(n)], axis=1)
+        levels = ((mean, middle), (word_mean, word_middle))
+        self.ranges = tuple(ordinary_middles(n[labels == 0], inner[labels == 0]) for _, inner in levels)
+        pair, word = (np.where(n > 0, whole - np.clip(inner, low, high), 0.0) for (whole, inner), (low, high) in zip(levels, self.ranges, strict=True))
+        ratios = np.stack([word, word * np.sqrt(n), pair - word, (pair - word) * np.sqrt(n)], axis=1)
         mean, spread = ratios.mean(axis=0), np.maximum(ratios.std(axis=0), 1e-9)
         x = np.column_stack([(ratios - mean) / spread, np.ones(len(ratios))])
-        w, penalty = np.zeros(3), np.array([1e-2, 1e-2, 1e-6])
+        w, penalty = np.zeros(5), np.array([1e-2] * 4 + [1e-6])
         for _ in range(60):
             q = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
             w += np.clip(np.linalg.solve((x * (q * (1 - q) + 1e-9)[:, None]).T @ x + np.diag(penalty), x.T @ (labels - q) - penalty * w), -4, 4)
-        self.slopes, self.shift = w[:2] / spread, w[2] - float((w[:2] * mean / spread).sum())
+        self.slopes, self.shift = w[:4] / spread, w[4] - float((w[:4] * mean / spread).sum())
 
 
 def fit(documents: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
@@ -330,9 +321,9 @@ def fit(documents: DataFrame, labels: DataFrame, params: Params = Params()) -> M
     rows = labelled(documents, labels).withColumn("held", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(p.calibrate)) == 0)
     words, pairs = count(rows, p)
     held = measure(rows.where("held").select("text", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id", F.lit(1)).alias("at")), ratios(without_held(words), without_held(pairs), p), p.trim)
-    pdf = held.orderBy("at", "n", "mean", "middle", "label").limit(p.max_calibration).toPandas()
+    pdf = held.orderBy("at", "n", *MEASURES, "label").limit(p.max_calibration).toPandas()
     model = Model(ratios(words, pairs, p), p.trim)
-    model.calibrate(*(pdf[c].to_numpy(float) for c in ("n", "mean", "middle", "label")))
+    model.calibrate(*(pdf[c].to_numpy(float) for c in ("n", *MEASURES, "label")))
     return model
 
 

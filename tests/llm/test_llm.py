@@ -365,6 +365,24 @@ def test_toxicity_beyond_broadcast(spark, odd, monkeypatch):
     assert np.allclose(sorted((r["doc_id"], r["score"]) for r in got), sorted((r["doc_id"], r["score"]) for r in want), atol=1e-6)
 
 
+def test_toxicity_of_a_phrase_of_ordinary_words(spark):
+    rng, rows = random.Random(9), []
+    for k in range(240):
+        words = [f"tok{j}" for j in rng.sample(range(3, 40), 20)]
+        for at in (2, 8, 14):  # both words as often in either class, next to each other in toxic texts only
+            words[at : at + 1] = ["tok1", "tok2"] if k % 3 == 0 else ["tok1", words[at], "tok2"]
+        rows.append((k, " ".join(words)))
+    model = toxicity.fit(documents(spark, rows), spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(180)], "doc_id long, label int"))
+    score = {r["doc_id"]: r["score"] for r in toxicity.score(documents(spark, rows), model).collect()}
+    assert np.mean([(score[k] >= 0.5) == (k % 3 == 0) for k in range(180, 240)]) > 0.95
+
+
+def test_toxicity_counts_all_pairs(spark):
+    rows = [(k, f"a{k} b{k} c{k} a{k} b{k}") for k in range(30)]
+    _, pairs = toxicity.count(documents(spark, rows).select("text", (F.col("doc_id") % 2).cast("int").alias("label")), toxicity.Params())
+    assert tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.col("n0") + F.col("n1"))).first()) == (90, 120)
+
+
 def test_quality_held_out(spark):
     df, labels = labelled_rows(spark, "good!")
     model = quality_classifier.fit(df, labels.where("doc_id < 180"), quality_classifier.Params(epochs=12))
