@@ -369,8 +369,8 @@ def test_toxicity_of_a_phrase_of_ordinary_words(spark):
     rng, rows = random.Random(9), []
     for k in range(240):
         words = [f"tok{j}" for j in rng.sample(range(3, 40), 20)]
-        for at in (2, 8, 14):  # both words as often in either class, next to each other in toxic texts only
-            words[at : at + 1] = ["tok1", "tok2"] if k % 3 == 0 else ["tok1", words[at], "tok2"]
+        for j, at in enumerate((2, 8, 14)):  # the same words and as many predecessors in either class, other neighbours
+            words[at : at + 1] = [f"left{j}", f"{(j + (k % 3 == 0)) % 3}right"]
         rows.append((k, " ".join(words)))
     model = toxicity.fit(documents(spark, rows), spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(180)], "doc_id long, label int"))
     score = {r["doc_id"]: r["score"] for r in toxicity.score(documents(spark, rows), model).collect()}
