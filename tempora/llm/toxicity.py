@@ -24,6 +24,7 @@ over more words is surer.  It is fitted on a bounded number of labelled rows hel
 counted as well, so that every labelled training row is in the counts that score.
 
 Counts are rows of tables in the shared folder, keyed by full 64-bit hashes of words, so they grow with the corpus.
+Those and all tables on the way to the ratios are deleted when the ratios are there, the shuffle files of each when it is written.
 What differs from the shared level is rated.  Up to MAX_BROADCAST of these ratios are broadcast, checked; beyond that
 the words of the texts are joined with them by shuffles, with the same scores.
 
@@ -36,19 +37,24 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.common import labelled, materialise, one_label, remainder, table, text_or_empty
+from tempora.llm.common import discard, labelled, materialise, one_label, remainder, small_batches, table, text_or_empty
 from tempora.llm.hashing import _BASE, blocks, mix, string_buffers, word_hashes
 
 #: ASCII characters but letters and digits separate words; bytes of other characters belong to them.
 SEPARATORS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-#: Ratios (20 bytes each) that are broadcast at most.
+#: Bytes of text that are hashed at once, at about 40 bytes of a worker's memory each.
+BLOCK = 1 << 20
+#: Ratios (16 bytes each) that are broadcast at most.
 MAX_BROADCAST = 4_000_000
+#: They are packed in so many parts, in packs of about so many.
+PARTS, PACKED = 8, 1 << 18
 #: Kinds of ratios: of (context, word), of (0, word), of (0, stem), of a context's other words, and of words of unknown stems.
 PAIR, WORD, STEM, CONTEXT, REST = 0, 1, 2, 3, 4
 
@@ -103,7 +109,7 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Stream, np.nda
     for batch in batches:
         data, offsets = string_buffers(batch.column("text"))
         labels, held = np.asarray(batch.column("label")), batch.column("held").to_numpy(zero_copy_only=False)
-        for i, j in blocks(offsets, 1 << 22):
+        for i, j in blocks(offsets, BLOCK):
             x = stream(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             if len(x.word):
                 yield x, labels[i:j][x.row], held[i:j][x.row]
@@ -129,11 +135,12 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count(rows: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
     """(words: a stem, b word, CLASSES, CONTEXTS; pairs: a context, b word, CLASSES) of rows (text, label, held if there is such)."""
+    small_batches(rows.sparkSession)
     rows = rows.select("text", "label", (F.col("held") if "held" in rows.columns else F.lit(False)).alias("held"))
     counted = rows.mapInArrow(_count_words, "a long, b long, " + ", ".join(f"{c} int" for c in CLASSES + CONTEXTS))
-    words = materialise(counted.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in CLASSES + CONTEXTS]), "toxicity-words")
+    words = materialise(counted.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in CLASSES + CONTEXTS]), "toxicity-words", free=True)
     pairs = rows.mapInArrow(_count_pairs, "a long, b long, " + ", ".join(f"{c} int" for c in CLASSES))
-    return words, materialise(pairs.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in CLASSES]), "toxicity-pairs")
+    return words, materialise(pairs.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in CLASSES]), "toxicity-pairs", free=True)
 
 
 def without_held(counts: DataFrame) -> DataFrame:
@@ -148,26 +155,26 @@ def ratios(words: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
     n = words.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)).alias(f"n{k}") for k in "01"]).first()
     total, everything = (n["n0"], n["n1"]), n["n0"] + n["n1"]
     if not min(total):
-        return spark.createDataFrame([(REST, 0, 0, 0.0)], schema)
+        return materialise(spark.createDataFrame([(REST, 0, 0, 0.0)], schema), "toxicity-ratios", free=True)
     d = [p.discount * x / min(total) for x in total]
     both = F.col("n0") + F.col("n1")
     over = lambda k: F.greatest(F.col(f"n{k}") - d[k], F.lit(0.0)) / total[k]
     left = [(F.sum(F.least(F.col(f"n{k}").cast("double"), F.lit(d[k]))) / total[k]).alias(f"l{k}") for k in (0, 1)]
     taken = F.sum(F.least(both.cast("double"), F.lit(float(p.discount))))
-    stems = materialise(words.groupBy("a").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count(F.lit(1)).alias("types"), taken.alias("taken")), "toxicity-stems")
-    word_left, stem_left = words.agg(*left).first(), stems.agg(*left, taken.alias("taken"), F.count(F.lit(1)).alias("types")).first()
+    by_stem = materialise(words.groupBy("a").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count(F.lit(1)).alias("types"), taken.alias("taken")), "toxicity-stems", free=True)
+    word_left, stem_left = words.agg(*left).first(), by_stem.agg(*left, taken.alias("taken"), F.count(F.lit(1)).alias("types")).first()
     shared = F.greatest(both - p.discount, F.lit(0.0)) / everything + stem_left["taken"] / everything / (stem_left["types"] + 1)
-    stems = stems.select("a", *[(over(k) + stem_left[f"l{k}"] * shared).alias(f"s{k}") for k in (0, 1)], both.alias("of"), "types", "taken", ((F.col("n0") > d[0]) | (F.col("n1") > d[1])).alias("known"))
+    stems = by_stem.select("a", *[(over(k) + stem_left[f"l{k}"] * shared).alias(f"s{k}") for k in (0, 1)], both.alias("of"), "types", "taken", ((F.col("n0") > d[0]) | (F.col("n1") > d[1])).alias("known"))
 
     own = (F.col("n0") > d[0]) | (F.col("n1") > d[1])
     wanted = words.where(own | (F.greatest("n0", "n1", "c0", "c1") > p.discount_pair)).join(stems, "a")
     within = F.greatest(both - p.discount, F.lit(0.0)) / F.col("of") + F.col("taken") / F.col("of") / (F.col("types") + 1)
-    rated = materialise(wanted.select("b", own.alias("own"), "c0", "c1", *[(over(k) + word_left[f"l{k}"] * F.col(f"s{k}") * within).alias(f"p{k}") for k in (0, 1)]), "toxicity-rated")
+    rated = materialise(wanted.select("b", own.alias("own"), "c0", "c1", *[(over(k) + word_left[f"l{k}"] * F.col(f"s{k}") * within).alias(f"p{k}") for k in (0, 1)]), "toxicity-rated", free=True)
 
     contexts = rated.where(F.least("c0", "c1") > p.discount_pair).select(F.col("b").alias("a"), "c0", "c1")
     heavy = pairs.join(contexts, "a")
     cut = lambda k: F.greatest(F.col(f"n{k}") - p.discount_pair * F.col(f"c{k}") / F.least("c0", "c1"), F.lit(0.0)) / F.col(f"c{k}")
-    heavy = materialise(heavy.select("a", "b", cut(0).alias("o0"), cut(1).alias("o1")).where("o0 > 0 or o1 > 0"), "toxicity-heavy")
+    heavy = materialise(heavy.select("a", "b", cut(0).alias("o0"), cut(1).alias("o1")).where("o0 > 0 or o1 > 0"), "toxicity-heavy", free=True)
     leftover = heavy.groupBy("a").agg((1 - F.sum("o0")).alias("l0"), (1 - F.sum("o1")).alias("l1"))
     found = heavy.join(leftover, "a").join(rated.select("b", "p0", "p1"), "b")
     of = lambda kind, df, a, b, ratio: df.select(F.lit(kind).alias("kind"), a.cast("long").alias("a"), b.cast("long").alias("b"), ratio.alias("ratio"))
@@ -176,15 +183,18 @@ def ratios(words: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
     out = of(PAIR, found, F.col("a"), F.col("b"), pair).unionByName(of(WORD, rated.where("own"), none, F.col("b"), F.log(F.col("p1") / F.col("p0"))))
     out = out.unionByName(of(STEM, stems.where("known"), none, F.col("a"), F.log(F.col("s1") / F.col("s0")) + word_rest)).unionByName(of(CONTEXT, leftover, none, F.col("a"), F.log(F.col("l1") / F.col("l0"))))
     rest = spark.createDataFrame([(REST, 0, 0, word_rest + float(np.log(stem_left["l1"] / stem_left["l0"])))], schema)
-    return materialise(out.unionByName(rest), "toxicity-ratios")
+    out = materialise(out.unionByName(rest), "toxicity-ratios", free=True)
+    for done in (by_stem, rated, heavy):
+        discard(done)
+    return out
 
 
 class Lookup:
     """Values by 64-bit key."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
+        """The keys ascend."""
+        self.keys, self.values = keys, values
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """The values, NaN where a key is not there."""
@@ -194,14 +204,39 @@ class Lookup:
         return np.where(self.keys[at] == keys, self.values[at], np.nan)
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ratios as bytes, 16 each, by kind and the top four bits of the key."""
+    some: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        some += [batch] if batch is not None and batch.num_rows else []
+        if not some or batch is not None and sum(x.num_rows for x in some) < PACKED:
+            continue
+        kind, a, b, ratio = (np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in some]) for c in ("kind", "a", "b", "ratio"))
+        some, a, b = [], a.view(np.uint64), b.view(np.uint64)
+        keys = np.where(kind == PAIR, _pair_hash(a, b), b)
+        packs, group = np.unique(kind * 16 + (keys >> np.uint64(60)).astype(np.int32), return_inverse=True)
+        rows = [(int(pack) // 16, int(pack) % 16, keys[group == k].tobytes(), ratio[group == k].tobytes()) for k, pack in enumerate(packs)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["kind", "top", "keys", "ratios"])
+
+
 def _lookups(rated: DataFrame) -> dict[int, Lookup] | None:
-    """Ratios by kind where they are few enough to broadcast."""
-    if rated.limit(MAX_BROADCAST + 1).count() > MAX_BROADCAST:
+    """Ratios by kind where they are few enough to broadcast.  They come to the driver packed and a part at a time, and are
+    sorted a sixteenth at a time, so that it holds little more than what it broadcasts."""
+    size = {r["kind"]: r["count"] for r in rated.groupBy("kind").count().collect()}
+    if sum(size.values()) > MAX_BROADCAST:
         return None
-    rows = rated.toArrow()
-    kind, a, b, ratio = (rows.column(k).to_numpy() for k in ("kind", "a", "b", "ratio"))
-    a, b = a.astype(np.int64).view(np.uint64), b.astype(np.int64).view(np.uint64)
-    return {k: Lookup(_pair_hash(a[kind == k], b[kind == k]) if k == PAIR else b[kind == k], ratio[kind == k]) for k in (PAIR, WORD, STEM, CONTEXT, REST)}
+    packs: dict[tuple[int, int], list[tuple[bytes, bytes]]] = {}
+    for r in rated.coalesce(PARTS).mapInArrow(_pack, "kind int, top int, keys binary, ratios binary").toLocalIterator():
+        packs.setdefault((r["kind"], r["top"]), []).append((bytes(r["keys"]), bytes(r["ratios"])))
+    found = {}
+    for kind in (PAIR, WORD, STEM, CONTEXT, REST):
+        n, at = size.get(kind, 0), 0
+        found[kind] = Lookup(np.empty(n, np.uint64), np.empty(n))
+        for top in range(16):
+            keys, values = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*packs.pop((kind, top), [(b"", b"")]), strict=True), (np.uint64, float), strict=True))
+            order, to = np.argsort(keys), slice(at, at + len(keys))
+            found[kind].keys[to], found[kind].values[to], at = keys[order], values[order], to.stop
+    return found
 
 
 def _word_ratios(x: Stream, found: dict[int, Lookup]) -> tuple[np.ndarray, np.ndarray]:
@@ -220,6 +255,7 @@ MEASURES = ("mean", "middle", "word_mean", "word_middle")
 
 def measure(rows: DataFrame, rated: DataFrame, trim: int = Params.trim) -> DataFrame:
     """rows with, in place of text, its number of words n and MEASURES."""
+    small_batches(rows.sparkSession)
     found, others = _lookups(rated), [c for c in rows.columns if c != "text"]
     if found is None:
         return _measure_by_join(rows, rated, trim)
@@ -228,7 +264,7 @@ def measure(rows: DataFrame, rated: DataFrame, trim: int = Params.trim) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = string_buffers(batch.column("text"))
-            for i, j in blocks(offsets, 1 << 22):
+            for i, j in blocks(offsets, BLOCK):
                 x = stream(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 n, means = np.bincount(x.row, minlength=x.n_rows), []
                 ends, cut = np.cumsum(n), n // trim
@@ -320,9 +356,13 @@ def fit(documents: DataFrame, labels: DataFrame, params: Params = Params()) -> M
     p = params
     rows = labelled(documents, labels).withColumn("held", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(p.calibrate)) == 0)
     words, pairs = count(rows, p)
-    held = measure(rows.where("held").select("text", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id", F.lit(1)).alias("at")), ratios(without_held(words), without_held(pairs), p), p.trim)
+    others = ratios(without_held(words), without_held(pairs), p)
+    held = measure(rows.where("held").select("text", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id", F.lit(1)).alias("at")), others, p.trim)
     pdf = held.orderBy("at", "n", *MEASURES, "label").limit(p.max_calibration).toPandas()
+    discard(others)
     model = Model(ratios(words, pairs, p), p.trim)
+    for done in (words, pairs):
+        discard(done)
     model.calibrate(*(pdf[c].to_numpy(float) for c in ("n", *MEASURES, "label")))
     return model
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -383,6 +385,43 @@ def test_toxicity_counts_all_pairs(spark):
     assert tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.col("n0") + F.col("n1"))).first()) == (90, 120)
 
 
+def test_toxicity_ratios_take_little_of_the_driver(spark):
+    n = 600_000
+    rated = spark.range(n, numPartitions=12).select((F.col("id") % 4).cast("int").alias("kind"), F.xxhash64("id").alias("a"), F.xxhash64("id", F.lit(1)).alias("b"), F.col("id").cast("double").alias("ratio"))
+    tracemalloc.start()
+    found, peak = toxicity._lookups(rated), tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 * n, peak / n  # 16 bytes of them are the result
+    ids = np.arange(n)
+    rows = rated.orderBy("ratio").toPandas()
+    a, b = (rows[c].to_numpy().view(np.uint64) for c in "ab")
+    for kind in range(4):
+        keys = toxicity._pair_hash(a, b) if kind == toxicity.PAIR else b
+        assert np.array_equal(found[kind].get(keys), np.where(ids % 4 == kind, ids, np.nan), equal_nan=True)
+
+
+def test_toxicity_leaves_no_counts_behind(spark):
+    df, labels = labelled_rows(spark, "idiot", 60)
+    before = set(common._written)
+    toxicity.fit(df, labels)
+    left = [path for key, (_, path) in common._written.items() if key not in before]
+    assert len(left) == 1 and "toxicity-ratios" in left[0]
+
+
+def test_materialise_frees_shuffle_files(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(k).getName() for k in range(found.size())}
+
+    before = files()
+    counts = common.materialise(spark.range(5000).groupBy(F.xxhash64("id").alias("a")).count(), "test-counts", free=True)
+    for _ in range(50):
+        if not (left := {x for x in files() - before if x.startswith("shuffle_")}):
+            break
+        time.sleep(0.1)
+    assert not left and counts.count() == 5000 and spark.conf.get(common.FREE_SHUFFLES) == "false"
+
+
 def test_quality_held_out(spark):
     df, labels = labelled_rows(spark, "good!")
     model = quality_classifier.fit(df, labels.where("doc_id < 180"), quality_classifier.Params(epochs=12))
