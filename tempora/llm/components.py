@@ -17,17 +17,17 @@ from tempora.llm.common import discard, materialise
 PER_TASK = 250_000
 
 
-def _large_star(links: DataFrame) -> DataFrame:
-    """Each node's larger neighbours are linked to its least neighbour, or to itself."""
+def _large_star(links: DataFrame, tasks: int) -> DataFrame:
+    """Each node's larger neighbours are linked to its least neighbour, or to itself; in so many tasks."""
     both = links.unionByName(links.select(F.col("hub").alias("node"), F.col("node").alias("hub")))
     least = both.groupBy("node").agg(F.min("hub").alias("m")).select("node", F.least("node", "m").alias("m"))
-    return both.where("hub > node").join(least, "node").select(F.col("hub").alias("node"), F.col("m").alias("hub"))
+    return both.where("hub > node").join(least, "node").select(F.col("hub").alias("node"), F.col("m").alias("hub")).coalesce(tasks)
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    """Each node and its smaller neighbours are linked to the least of these; links point from larger to smaller."""
+def _small_star(links: DataFrame, tasks: int) -> DataFrame:
+    """Each node and its smaller neighbours are linked to the least of these; links point from larger to smaller; in so many tasks."""
     least = links.groupBy("node").agg(F.min("hub").alias("m"))
-    joined = links.join(least, "node")
+    joined = links.join(least, "node").coalesce(tasks)
     return joined.select(F.explode(F.array(F.struct("node", F.col("m").alias("hub")), F.struct(F.col("hub").alias("node"), F.col("m").alias("hub")))).alias("x")).select("x.*").where("node != hub")
 
 
@@ -40,7 +40,7 @@ def connected_components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     previous = None
     for _ in range(max_rounds):
         tasks = 8 + size // PER_TASK
-        after = materialise(_small_star(_large_star(current)).distinct().coalesce(tasks), "links")
+        after = materialise(_small_star(_large_star(current, tasks), tasks).distinct().coalesce(tasks), "links")
         state = after.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node", "hub").cast("decimal(38,0)")).alias("h")).first()
         size = state["n"]
         settled = previous is not None and (state["n"], state["h"]) == previous
@@ -50,4 +50,4 @@ def connected_components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
         previous, current = (state["n"], state["h"]), after
     else:
         raise RuntimeError("components did not settle")
-    return current.select("node", F.col("hub").alias("component")).unionByName(current.select(F.col("hub").alias("node"), F.col("hub").alias("component")).distinct())
+    return current.select("node", F.col("hub").alias("component")).unionByName(current.select(F.col("hub").alias("node"), F.col("hub").alias("component")).distinct().coalesce(8 + size // PER_TASK))

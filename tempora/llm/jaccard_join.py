@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempora.llm.common import free_name, materialise, small, small_batches, table, text_or_empty
-from tempora.llm.components import connected_components
+from tempora.llm.components import PER_TASK, connected_components
 from tempora.llm.hashing import _BASE, blocks, mix, shingle_hashes, string_buffers, word_hashes
 
 #: Rows of ids (up to 120 bytes each on an executor) that are broadcast at most, and shingles (8 bytes each) of pivots;
@@ -113,14 +113,15 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64()))
 
 
-def _regions(found: DataFrame, twins: DataFrame, p: Params) -> DataFrame:
+def _regions(found: DataFrame, twins: DataFrame, p: Params, repeats: bool | None = None) -> DataFrame:
     """(node, region, size, weight): each document in the regions of its windows' pivots; regions have two members or more.
+    repeats: whether some doc_id has several rows, where that is known.
 
     Counts are taken by partial aggregation, so a shingle of very many documents is a row a task there; its rows then
     meet its count in a join that Spark can split.
     """
     rows = found.where("n > 0 and doc_id is not null").join(_small(twins), ["d1", "d2", "n"], "left").where("node is null or node = doc_id").select(F.col("doc_id").alias("node"), "n", "d1", "d2", "first")
-    if _repeats(found):
+    if _repeats(found) if repeats is None else repeats:
         rows = rows.dropDuplicates(["node", "d1", "d2", "n"])
     each = rows.select("node", "n", F.size("first").alias("listed"), F.explode("first").alias("key"))
     shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min("node").alias("pivot")).where("docs > 1")
@@ -164,11 +165,17 @@ def _too_large(size: Column, weight: Column, p: Params) -> Column:
     return (size > 2) & ((size > p.leaf) | (weight > p.leaf_shingles))
 
 
-def _measured(sets: DataFrame, p: Params, seed: int) -> DataFrame:
+def _tasks(documents: int) -> int:
+    """How many tasks take the summaries of so many documents of large regions: small tables should not cost the driver a task a shuffle partition."""
+    return 8 + documents // PER_TASK
+
+
+def _measured(sets: DataFrame, p: Params, seed: int, tasks: int) -> DataFrame:
     """sets with `near`, the distances to the pivots of their region and whether they link to them."""
     spread = F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(p.pivots))
-    drawn = sets.groupBy("region", spread.alias("at")).agg(F.min(F.struct(F.xxhash64("node", F.lit(seed + 1)).alias("h"), "node", "n", "shingles")).alias("x"))
-    chosen = materialise(drawn.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("x.node", "x.n", "x.shingles"))).alias("drawn")), "jaccard-pivots")  # `pivots` sets a region
+    drawn = sets.groupBy("region", spread.alias("at")).agg(F.min(F.struct(F.xxhash64("node", F.lit(seed + 1)).alias("h"), "node", "n", "shingles")).alias("x")).coalesce(tasks)
+    chosen = drawn.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("x.node", "x.n", "x.shingles"))).alias("drawn"))  # `pivots` sets a region
+    chosen = materialise(chosen.coalesce(tasks), "jaccard-pivots")
     weight = chosen.select(F.sum(F.aggregate("drawn", F.lit(0).cast("long"), lambda s, q: s + q["n"]))).first()[0] or 0
     if weight <= MAX_BROADCAST_SHINGLES:
         chosen = F.broadcast(chosen)
@@ -184,14 +191,18 @@ def _measured(sets: DataFrame, p: Params, seed: int) -> DataFrame:
 FAR = 0.5
 
 
-def _balls(measured: DataFrame, few: bool) -> DataFrame:
-    """measured with `component`: the least pivot that a document's own pivots are joined to by documents in several balls; null where it is in none.
+def _summed(measured: DataFrame, p: Params, few: bool, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """(measured with `component`, distances `ds`, the least `best` of them and its place `home`, and what has a row a region; (region, documents)).
 
-    What meets is one row a region: its different sets of linked pivots, at most two to the power of `pivots`.
+    A row a region has its number of documents, the radius of each home, and its different sets of linked pivots, at most
+    two to the power of `pivots`, as a map from each pivot to the least one that it is joined to by documents in several balls.
+    That is the component of a document in a ball; it is null where it is in none.
     """
     own = F.transform(F.filter("near", lambda q: q["linked"]), lambda q: q["pivot"])
-    rows = measured.withColumn("own", own)
-    met = rows.where(F.size("own") > 0).groupBy("region").agg(F.collect_set("own").alias("sets"))
+    cells = F.concat(F.transform("near", lambda q: q["d"]), F.array(F.lit(FAR)))
+    rows = measured.withColumns({"own": own, "ds": cells}).withColumn("best", F.array_min("ds")).withColumn("home", F.array_position("ds", F.col("best")).cast("int") - 1)
+    radius = F.array(*[F.max(F.when(F.col("home") == i, F.col("best"))) for i in range(p.pivots + 1)])
+    met = rows.groupBy("region").agg(F.count(F.lit(1)).alias("documents"), F.collect_set(F.when(F.size("own") > 0, F.col("own"))).alias("sets"), radius.alias("radius"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,24 +214,22 @@ def _balls(measured: DataFrame, few: bool) -> DataFrame:
                         least = min(label[x] for x in group)
                         label = {x: least if y in {label[z] for z in group} else y for x, y in label.items()}
                 labels.append(sorted(label.items()))
-            yield pa.RecordBatch.from_arrays([batch.column("region"), pa.array(labels, pa.map_(pa.int64(), pa.int64()))], ["region", "labels"])
+            yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("documents"), pa.array(labels, pa.map_(pa.int64(), pa.int64())), batch.column("radius")], ["region", "documents", "labels", "radius"])
 
-    found = met.mapInArrow(run, "region long, labels map<long, long>")
-    return rows.join(F.broadcast(found) if few else found, "region", "left").withColumn("component", F.when(F.size("own") > 0, F.element_at("labels", F.get("own", 0)))).drop("own", "labels")
+    found = materialise(met.coalesce(tasks).mapInArrow(run, "region long, documents long, labels map<long, long>, radius array<double>"), "jaccard-summed")
+    known = found.drop("documents")
+    rows = rows.join(F.broadcast(known) if few else known, "region").withColumn("component", F.when(F.size("own") > 0, F.element_at("labels", F.get("own", 0)))).drop("own", "labels")
+    return rows, found.select("region", "documents")
 
 
-def _voronoi(measured: DataFrame, p: Params, few: bool) -> DataFrame:
+def _voronoi(summed: DataFrame, p: Params) -> DataFrame:
     """(region, home, cell, node, n, shingles, component): documents at home with their nearest pivot, and as guests where windows reach."""
     e, slack = 1 - p.percent / 100, 1e-9
-    cells = F.concat(F.transform("near", lambda q: q["d"]), F.array(F.lit(FAR)))
-    homed = measured.withColumn("ds", cells).withColumn("best", F.array_min("ds")).withColumn("home", F.array_position("ds", F.col("best")).cast("int") - 1)
-    radius = homed.groupBy("region", "home").agg(F.max("best").alias("r")).groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("home", "r"))).alias("radius"))  # `pivots` entries a region
-    homed = homed.join(F.broadcast(radius) if few else radius, "region")
     reached = F.filter(
         F.sequence(F.lit(0), F.col("home")),
-        lambda i: (i == F.col("home")) | ((F.get("ds", i) <= F.col("best") + 2 * e + slack) & (F.get("ds", i) <= F.element_at("radius", i) + e + slack)),
+        lambda i: (i == F.col("home")) | ((F.get("ds", i) <= F.col("best") + 2 * e + slack) & (F.get("ds", i) <= F.get("radius", i) + e + slack)),
     )
-    return homed.select("region", "home", F.explode(reached).alias("cell"), "node", "n", "shingles", "component")
+    return summed.select("region", "home", F.explode(reached).alias("cell"), "node", "n", "shingles", "component")
 
 
 def _open(parts: DataFrame, *by: str) -> DataFrame:
@@ -233,53 +242,55 @@ def _open(parts: DataFrame, *by: str) -> DataFrame:
 MIXED = -(2**62)
 
 
-def _blocks(sets: DataFrame, p: Params) -> DataFrame:
+def _blocks(sets: DataFrame, p: Params, tasks: int) -> DataFrame:
     """(region, node, n, shingles): regions as pairs of blocks; a block is a share of one component, or of all smaller ones together."""
     half = max(p.leaf // 2, 1)
-    big = sets.groupBy("region", "component").agg(F.count(F.lit(1)).alias("docs")).where(F.col("component").isNotNull() & (F.col("docs") > half))
+    big = sets.groupBy("region", "component").agg(F.count(F.lit(1)).alias("docs")).where(F.col("component").isNotNull() & (F.col("docs") > half)).coalesce(tasks)
     marked = sets.join(_small(big.select("region", "component", F.lit(True).alias("big"))), ["region", "component"], "left")
     marked = marked.select("region", F.when(F.col("big"), F.col("component")).otherwise(MIXED).alias("own"), "node", "n", "shingles")
     marked = materialise(marked, "jaccard-marked")
     parts = marked.groupBy("region", "own").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("weight"))
-    parts = materialise(parts.select("region", "own", F.greatest(F.ceil(F.col("docs") / half), F.ceil(2 * F.col("weight") / p.leaf_shingles)).cast("int").alias("shares")), "jaccard-shares")
+    parts = materialise(parts.select("region", "own", F.greatest(F.ceil(F.col("docs") / half), F.ceil(2 * F.col("weight") / p.leaf_shingles)).cast("int").alias("shares")).coalesce(tasks), "jaccard-shares")
     each = parts.select("region", "own", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
     other = each.select("region", F.col("own").alias("own2"), F.col("share").alias("share2"))
     one_component = (F.col("own") == F.col("own2")) & (F.col("own") != MIXED)
     pairs = each.join(other, "region").where((F.struct("own", "share") <= F.struct(F.col("own2").alias("own"), F.col("share2").alias("share"))) & ~one_component)  # summaries of blocks only
     pairs = pairs.withColumn("pair", F.xxhash64("region", "own", "share", "own2", "share2"))
     sides = pairs.select("region", "own", "share", "pair").unionByName(pairs.select("region", F.col("own2").alias("own"), F.col("share2").alias("share"), "pair")).distinct()
+    sides = materialise(sides.coalesce(tasks), "jaccard-sides")
     dealt = marked.join(_small(parts), ["region", "own"]).withColumn("share", F.pmod(F.xxhash64("node", F.lit(17)), F.col("shares")).cast("int"))
     met = dealt.join(_small(sides), ["region", "own", "share"])
     return met.select(F.col("pair").alias("region"), "node", "n", "shingles")
 
 
-def _divided(sets: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
-    """(links to pivots, the regions that are left, none above a leaf) of regions that are all above a leaf."""
+def _divided(sets: DataFrame, p: Params, regions: int, documents: int) -> tuple[DataFrame, DataFrame]:
+    """(links to pivots, the regions that are left, none above a leaf) of regions that are all above a leaf; so many regions, and documents in them."""
     links, leaves, rest = None, None, sets
     add = lambda whole, part: part if whole is None else whole.unionByName(part)
     kept = lambda df: df.select("region", "node", "n", "shingles")
     for level in range(p.levels):
-        measured = _measured(rest, p, 100 + 2 * level)
-        few = measured.select("region").distinct().count() * (p.pivots + 1) <= MAX_BROADCAST  # rows of what has a row a cell
-        links = add(links, measured.select("node", F.explode(F.filter("near", lambda q: q["linked"])).alias("q")).select("node", F.col("q.pivot").alias("hub")).where("node != hub").distinct())
-        measured = _balls(measured, few)
-        cells = materialise(_voronoi(measured, p, few), "jaccard-cells")
-        before = measured.groupBy("region").agg(F.count(F.lit(1)).alias("documents"))
-        open_cells = _open(cells, "region", "cell").join(before, "region")
-        after = F.sum("size").over(Window.partitionBy("region"))  # `pivots` rows
-        open_cells = materialise(open_cells.select("region", "cell", "size", "weight", (after <= 2 * F.col("documents")).alias("splits")), "jaccard-open")
+        few, tasks = regions * (p.pivots + 1) <= MAX_BROADCAST, _tasks(documents)  # few: rows of what has a row a cell
         of = lambda x: F.broadcast(x) if few else x  # noqa: B023, E731
-        stuck = open_cells.where("not splits").select("region").distinct()
-        if stuck.limit(1).count():
-            leaves = add(leaves, _blocks(measured.join(of(stuck), "region").drop("near"), p))
-        inside = cells.join(of(open_cells.where("splits")), ["region", "cell"]).withColumn("region", F.xxhash64("region", "cell", F.lit(level)))
+        measured = _measured(rest, p, 100 + 2 * level, tasks)
+        links = add(links, measured.select("node", F.explode(F.filter("near", lambda q: q["linked"])).alias("q")).select("node", F.col("q.pivot").alias("hub")).where("node != hub"))
+        summed, before = _summed(measured, p, few, tasks)
+        cells = materialise(_voronoi(summed, p), "jaccard-cells")
+        open_cells = _open(cells, "region", "cell").coalesce(tasks).join(of(before), "region")
+        after = F.sum("size").over(Window.partitionBy("region"))  # `pivots` rows
+        open_cells = materialise(open_cells.select("region", "cell", "size", "weight", (after <= 2 * F.col("documents")).alias("splits")).coalesce(tasks), "jaccard-open")
         large = _too_large(F.col("size"), F.col("weight"), p)
+        again = F.when(F.col("splits") & large, F.col("size"))
+        stuck, regions, more = open_cells.agg(F.count(F.when(~F.col("splits"), 1)), F.count(again), F.sum(again)).first()
+        if stuck:
+            parted = summed.join(of(open_cells.where("not splits").select("region")), "region", "left_semi")
+            leaves = add(leaves, _blocks(parted.select("region", "node", "n", "shingles", "component"), p, tasks))
+        inside = cells.join(of(open_cells.where("splits")), ["region", "cell"]).withColumn("region", F.xxhash64("region", "cell", F.lit(level)))
         leaves = add(leaves, kept(inside.where(~large)))
-        if not open_cells.where("splits").where(large).limit(1).count():
+        if not regions:
             return links, leaves
-        rest = materialise(kept(inside.where(large)), "jaccard-rest")
+        rest, documents = materialise(kept(inside.where(large)), "jaccard-rest"), more
     rest = rest.join(_small(connected_components(links)), "node", "left")
-    return links, leaves.unionByName(_blocks(rest, p))
+    return links, leaves.unionByName(_blocks(rest, p, _tasks(documents)))
 
 
 def join_region(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -381,15 +392,16 @@ def components(documents: DataFrame, params: Params = Params()) -> tuple[DataFra
     found = materialise(signatures(documents, p), "jaccard-signatures")
     classes = found.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"))
     twins = materialise(classes.where("rows > 1").drop("rows"), "jaccard-classes")
-    regions = materialise(_regions(found, twins, p), "jaccard-members")
     repeats = _repeats(found)
+    regions = materialise(_regions(found, twins, p, repeats), "jaccard-members")
     partitions = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     large = _too_large(F.col("size"), F.col("weight"), p)
     whole = lambda x: x.dropDuplicates(["region", "node", "n"]) if repeats else x
-    if not regions.where(large).limit(1).count():
+    members, number = regions.where(large).agg(F.count(F.lit(1)), F.sum(1 / F.col("size"))).first()  # each of a region's members counts for its share
+    if not members:
         links = _leaves(whole(_sets(documents, regions, p)), p, partitions)
     else:
-        links, parts = _divided(materialise(whole(_sets(documents, regions.where(large), p)), "jaccard-large"), p)
+        links, parts = _divided(materialise(whole(_sets(documents, regions.where(large), p)), "jaccard-large"), p, round(number), members)
         links = _leaves(whole(_sets(documents, regions.where(~large), p)).unionByName(parts), p, partitions).unionByName(links)
     return found.drop("first"), twins, connected_components(links)
 

@@ -194,6 +194,31 @@ def test_jaccard_group_of_near_copies_is_split(spark):
     assert got == brute.components(rows)
 
 
+def test_jaccard_division_takes_few_tasks(spark):
+    """Summaries of large regions are small: they should not cost the driver a task for each shuffle partition, level by level."""
+    base = [f"w{k}" for k in range(100)]
+    rows = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(40)]
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "256k"}
+    before = {k: spark.conf.get(k) for k in held}
+    sets = documents(spark, rows).select(F.lit(0).cast("long").alias("region"), F.col("doc_id").alias("node"), F.lit(97).cast("long").alias("n"), F.sequence(F.col("doc_id"), F.col("doc_id") + 96).alias("shingles"))
+    tracker = spark.sparkContext.statusTracker()
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        spark.range(1).rdd.count()
+        first = max(tracker.getJobIdsForGroup(None))
+        p = jaccard_join.Params(leaf=20, pivots=3, levels=2)
+        jaccard_join._divided(common.materialise(sets, "sets"), p, 1, len(rows))
+        spark.range(1).rdd.count()
+        last = max(tracker.getJobIdsForGroup(None))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    stages = {s for j in range(first + 1, last) if (job := tracker.getJobInfo(j)) for s in job.stageIds}
+    tasks = sum(info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s)))
+    assert 0 < tasks < 400  # 1,323 where each summary was a task a partition, 140 now
+
+
 def test_jaccard_chain_has_no_large_region(spark):
     words = [f"c{k}" for k in range(700)]
     rows = [(k, " ".join(words[k : k + 60])) for k in range(600)]  # each links to its neighbours only, all are one component
